@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from setweave.functions.text import hash_set, sql_tokens, token_hashes
-from setweave.llm import near_duplicates, overlap, similar_sets
+from setweave.llm import distinctive, near_duplicates, overlap, similar_sets
+from setweave.llm.term_counts import TermCounts, changes, newest, term_deltas
 from setweave.operators.components import connected_components
 from setweave.operators.skew import skew_join
 from setweave.session import materialize, tune
@@ -108,19 +111,76 @@ def p6_overlaps(spark: SparkSession, d: str) -> DataFrame:
     return e.select(F.least("a", "b").alias("u_a"), F.greatest("a", "b").alias("u_b"), F.round("intersection", 3).alias("intersection"), F.round("union", 3).alias("union_size"))
 
 
-_RECORDS = f"""records as (select _id, text, title from corpus where _id is not null
-  qualify row_number() over (partition by _id order by fetched_at desc) = 1),
- sets as (select 'corpus' as kind, _id as id, list_distinct({sql_tokens('text')}) as s from records),
- nodes as (select distinct u, v from edge_pairs where u is not null and v is not null and u <> v),
- elems as (select kind, id, unnest(s) as e, len(s) as n from sets where len(s) >= 8
-  union all select 'node', u::varchar, v::varchar, count(*) over (partition by u) from nodes
-   qualify count(*) over (partition by u) >= 5),
- shared as (select a.kind, a.id as id_a, b.id as id_b, any_value(a.n) as na, any_value(b.n) as nb, count(*) as i
-  from elems a join elems b on a.kind = b.kind and a.e = b.e and a.id < b.id group by 1, 2, 3),
- pairs as (select kind, id_a, id_b from shared where i / (na + nb - i) >= 0.6)"""
+def _term_counts(spark: SparkSession, d: str) -> TermCounts:
+    """Counts of corpus.text after two batches of deliveries: those up to the middle of the time covered, then the later ones."""
+    corpus = read(spark, d, "corpus")
+    seconds = F.col("fetched_at").cast("timestamp").cast("double")
+    span = corpus.agg(F.min(seconds).alias("a"), F.max(seconds).alias("b")).first()
+    middle = F.lit(((span.a or 0) + (span.b or 0)) / 2)
+    at = F.coalesce(seconds, F.lit(0.0))
+    early, late = (newest(corpus.where(c), "_id", "text", "fetched_at") for c in (at <= middle, at > middle))
+    counts = TermCounts(spark)
+    counts.merge(term_deltas(early.withColumn("sign", F.lit(1)), counts.buckets))
+    return counts.merge(term_deltas(changes(early, late), counts.buckets))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Terms in fewer than 3 records or in more than 40 % of them."""
+    return _term_counts(spark, d).marked(3, 0.4).where("mark is not null").select("term", "mark")
+
+
+def p2_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Occurrences, records and mark of every term."""
+    return _term_counts(spark, d).marked(3, 0.4)
+
+
+def _weights(spark: SparkSession, d: str) -> list[DataFrame]:
+    corpus = newest(read(spark, d, "corpus"), "_id", "text", "fetched_at").select(F.lit("corpus").alias("origin"), F.col("id").alias("record_id"), "text")
+    queries = newest(read(spark, d, "queries").withColumn("o", F.lit(0)), "_id", "text", "o").select(F.lit("queries").alias("origin"), F.col("id").alias("record_id"), "text")
+    return distinctive.weigh(corpus, queries)
+
+
+def p4_weights(spark: SparkSession, d: str) -> DataFrame:
+    """Weight of every term in every record of corpus and queries."""
+    parts = [w.select("origin", "record_id", "term", "tf", "df", F.round("weight", 6).alias("weight")) for w in _weights(spark, d)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """The terms of highest tf * ln((N + 1) / (1 + df)) of every record, all of them on a tie.
+
+    The weights' rows are ranked within each of their parts first, where a record's rows mostly lie together.
+    """
+    score = F.round(F.col("tf") * F.log((F.col("n_records") + 1) / (1 + F.col("df"))), 9)
+
+    def top(rows: DataFrame, terms) -> DataFrame:
+        tied = rows.groupBy("origin", "record_id", "score").agg(terms.alias("terms"))
+        return tied.groupBy("origin", "record_id").agg(F.max("score").alias("score"), F.max_by("terms", "score").alias("terms"))
+
+    parts = [top(w.withColumn("score", score), F.collect_list("term")) for w in _weights(spark, d)]
+    best = top(reduce(DataFrame.unionByName, parts), F.flatten(F.collect_list("terms")))
+    return best.select("origin", "record_id", F.explode("terms").alias("term"))
+
+
+_TERMS = f"""records as (select _id, text from corpus where _id is not null
+  qualify row_number() over (partition by _id order by fetched_at desc, text desc nulls last) = 1),
+ w as (select _id, unnest({sql_tokens('text')}) as term from records),
+ terms as (select term, count(*)::bigint as occurrences, count(distinct _id)::bigint as df from w group by 1)"""
+_SCORED = f"""with {_TERMS}, coll as (select term, df, occurrences as cf, (select count(*) from records) as n from terms),
+ q as (select distinct _id, text from queries where _id is not null qualify row_number() over (partition by _id order by text desc nulls last) = 1),
+ every as (select 'corpus' as origin, _id as record_id, {sql_tokens('text')} as t from records union all select 'queries', _id, {sql_tokens('text')} from q),
+ tf as (select origin, record_id, term, count(*)::bigint as tf, any_value(n)::bigint as length from (select origin, record_id, unnest(t) as term, len(t) as n from every) group by 1, 2, 3),
+ scored as (select origin, record_id, term, tf, length, df, cf, n from tf join coll using (term))"""
 
 SQL: dict[str, str] = {
     "p1_found": f"with {_RECORDS} select kind, id_a, id_b from pairs",
+    "p2_found": f"""with {_TERMS} select term, case when df < 3 then 'rare' else 'common' end as mark from terms where df < 3 or df > 0.4 * (select count(*) from records)""",
+    "p2_counts": f"""with {_TERMS} select term, occurrences, df as records,
+  case when df < 3 then 'rare' when df > 0.4 * (select count(*) from records) then 'common' end as mark from terms""",
+    "p4_found": f"""{_SCORED}, best as (select *, round(tf * ln((n + 1) / (1 + df)), 9) as score from scored)
+ select origin, record_id, term from best qualify score = max(score) over (partition by origin, record_id)""",
+    "p4_weights": f"""{_SCORED}, f as (select *, tf * log2(1 + (select sum(cf) / any_value(n) from coll) / length) as tfn, cf / n as l from scored)
+ select origin, record_id, term, tf, df, round((log2(1 + l) + tfn * log2((1 + l) / l)) / (tfn + 1), 6) as weight from f""",
     "p5_found": f"""with recursive records as (select _id, text, title from corpus where _id is not null
   qualify row_number() over (partition by _id order by fetched_at desc) = 1),
  t as (select _id, {sql_tokens("coalesce(title, '') || ' ' || coalesce(text, '')")} as t from records),
@@ -136,4 +196,4 @@ SQL: dict[str, str] = {
  group by 1, 2 having count(*) / least(any_value(a.n), any_value(b.n)) >= 0.2""",
 }
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_links, p5_found, p5_groups, p6_found, p6_overlaps)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_links, p2_found, p2_counts, p4_found, p4_weights, p5_found, p5_groups, p6_found, p6_overlaps)}
