@@ -1,4 +1,4 @@
-"""The pN_ queries of this subpackage and their SQL."""
+"""The pN_ queries of this subpackage."""
 
 from __future__ import annotations
 
@@ -7,8 +7,9 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from setweave.functions.text import hash_set, sql_tokens, token_hashes
+from setweave.functions.text import hash_set, token_hashes
 from setweave.llm import distinctive, near_duplicates, overlap, similar_sets
+from setweave.llm.sql import SQL  # noqa: F401
 from setweave.llm.term_counts import TermCounts, changes, newest, term_deltas
 from setweave.operators.components import connected_components
 from setweave.operators.skew import skew_join
@@ -162,38 +163,4 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return best.select("origin", "record_id", F.explode("terms").alias("term"))
 
 
-_TERMS = f"""records as (select _id, text from corpus where _id is not null
-  qualify row_number() over (partition by _id order by fetched_at desc, text desc nulls last) = 1),
- w as (select _id, unnest({sql_tokens('text')}) as term from records),
- terms as (select term, count(*)::bigint as occurrences, count(distinct _id)::bigint as df from w group by 1)"""
-_SCORED = f"""with {_TERMS}, coll as (select term, df, occurrences as cf, (select count(*) from records) as n from terms),
- q as (select distinct _id, text from queries where _id is not null qualify row_number() over (partition by _id order by text desc nulls last) = 1),
- every as (select 'corpus' as origin, _id as record_id, {sql_tokens('text')} as t from records union all select 'queries', _id, {sql_tokens('text')} from q),
- tf as (select origin, record_id, term, count(*)::bigint as tf, any_value(n)::bigint as length from (select origin, record_id, unnest(t) as term, len(t) as n from every) group by 1, 2, 3),
- scored as (select origin, record_id, term, tf, length, df, cf, n from tf join coll using (term))"""
-
-SQL: dict[str, str] = {
-    "p1_found": f"with {_RECORDS} select kind, id_a, id_b from pairs",
-    "p2_found": f"""with {_TERMS} select term, case when df < 3 then 'rare' else 'common' end as mark from terms where df < 3 or df > 0.4 * (select count(*) from records)""",
-    "p2_counts": f"""with {_TERMS} select term, occurrences, df as records,
-  case when df < 3 then 'rare' when df > 0.4 * (select count(*) from records) then 'common' end as mark from terms""",
-    "p4_found": f"""{_SCORED}, best as (select *, round(tf * ln((n + 1) / (1 + df)), 9) as score from scored)
- select origin, record_id, term from best qualify score = max(score) over (partition by origin, record_id)""",
-    "p4_weights": f"""{_SCORED}, f as (select *, tf * log2(1 + (select sum(cf) / any_value(n) from coll) / length) as tfn, cf / n as l from scored)
- select origin, record_id, term, tf, df, round((log2(1 + l) + tfn * log2((1 + l) / l)) / (tfn + 1), 6) as weight from f""",
-    "p5_found": f"""with recursive records as (select _id, text, title from corpus where _id is not null
-  qualify row_number() over (partition by _id order by fetched_at desc) = 1),
- t as (select _id, {sql_tokens("coalesce(title, '') || ' ' || coalesce(text, '')")} as t from records),
- s as (select _id, unnest(list_distinct([t[i] || ' ' || t[i + 1] || ' ' || t[i + 2] for i in range(1, len(t) - 1)])) as e from t where len(t) >= 8),
- n as (select _id, count(*) as n from s group by 1),
- p as (select a._id as x, b._id as y, count(*) as i from s a join s b on a.e = b.e and a._id <> b._id group by 1, 2),
- l as (select x, y from p join n nx on nx._id = x join n ny on ny._id = y where i / (nx.n + ny.n - i) >= 0.5),
- r as (select distinct x as node, x as other from l union select r.node, l.y from r join l on r.other = l.x)
- select min(other) as group_id, node as member_id from r group by node""",
-    "p6_found": """with nodes as (select distinct u, v from edge_pairs where u is not null and v is not null and u <> v),
- big as (select u, v, count(*) over (partition by u) as n from nodes qualify count(*) over (partition by u) >= 100)
- select a.u as u_a, b.u as u_b from big a join big b on a.v = b.v and a.u < b.u
- group by 1, 2 having count(*) / least(any_value(a.n), any_value(b.n)) >= 0.2""",
-}
-
 QUERIES = {f.__name__: f for f in (p1_found, p1_links, p2_found, p2_counts, p4_found, p4_weights, p5_found, p5_groups, p6_found, p6_overlaps)}
