@@ -31,11 +31,11 @@ def running_sum(rows: DataFrame, group: list[str], order: str, value: str, out:
     """Exclusive running sum of `value` per group in the order of `order`, a uniform 64-bit hash.
 
     A group is cut into `buckets` ranges of the hash; each range is summed in its own task and the ranges'
-    totals (groups x buckets rows) give its start. No task holds a whole group. Ties of the hash are kept
-    apart by every further column of `rows` named in `group`'s complement that the caller put into order.
+    totals (groups x buckets rows) give its start. No task holds a whole group. Equal hashes follow one
+    another in any order.
     """
-    width = (1 << 64) // buckets
-    b = rows.withColumn("_b", F.least(F.lit(buckets - 1), F.floor((F.col(order).cast("decimal(20,0)") + F.lit(1 << 63)) / F.lit(width)).cast("int")))
+    share = F.col(order).cast("double") / F.lit(float(2**64)) + 0.5
+    b = rows.withColumn("_b", F.least(F.lit(buckets - 1), F.floor(share * buckets).cast("int")))
     totals = b.groupBy(*group, "_b").agg(F.sum(value).alias("_t"))
     starts = totals.withColumn("_s", F.coalesce(F.sum("_t").over(W.partitionBy(*group).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0).cast("long"))).drop("_t")
     inside = F.coalesce(F.sum(value).over(W.partitionBy(*group, "_b").orderBy(order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0).cast("long"))
