@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from setweave.functions.text import hash_set, token_hashes
-from setweave.llm import distinctive, near_duplicates, overlap, similar_sets
+from setweave.llm import distinctive, leaks, mixture, near_duplicates, overlap, similar_sets, spam_pages
 from setweave.llm.sql import SQL  # noqa: F401
 from setweave.llm.term_counts import TermCounts, changes, newest, term_deltas
 from setweave.operators.components import connected_components
@@ -163,4 +163,44 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return best.select("origin", "record_id", F.explode("terms").alias("term"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_links, p2_found, p2_counts, p4_found, p4_weights, p5_found, p5_groups, p6_found, p6_overlaps)}
+def p7_passages(spark: SparkSession, d: str) -> DataFrame:
+    """Every document with an item it holds a passage of, and how many of the item's windows it holds."""
+    return leaks.leaks(read(spark, d, "documents"), read(spark, d, "eval_items"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents holding 10 consecutive tokens of an item."""
+    return p7_passages(spark, d).select("doc_id", "item_id")
+
+
+def _sized(spark: SparkSession, d: str) -> DataFrame:
+    return materialize(mixture.count_tokens(read(spark, d, "documents").select("doc_id", "source", "text")), "sized")
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Sources that cannot reach their share."""
+    return mixture.plan(_sized(spark, d), read(spark, d, "source_targets")).where("capped").select("source")
+
+
+def p8_mix(spark: SparkSession, d: str) -> DataFrame:
+    """The mix in training order."""
+    return mixture.mix(_sized(spark, d), read(spark, d, "source_targets")).orderBy("position")
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Shares the mix reaches."""
+    sized, targets = _sized(spark, d), read(spark, d, "source_targets")
+    return mixture.shares(mixture.mix(sized, targets), sized, targets)
+
+
+def p9_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Distance, direction and spam share of every document."""
+    return spam_pages.scores(read(spark, d, "documents"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pages of keywords, links or product tags."""
+    return spam_pages.spam_pages(read(spark, d, "documents")).select("doc_id").distinct()
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_links, p2_found, p2_counts, p4_found, p4_weights, p5_found, p5_groups, p6_found, p6_overlaps, p7_found, p7_passages, p8_found, p8_mix, p8_shares, p9_found, p9_scores)}

@@ -24,6 +24,10 @@ _SCORED = f"""with {_TERMS}, coll as (select term, df, occurrences as cf, (selec
  tf as (select origin, record_id, term, count(*)::bigint as tf, any_value(n)::bigint as length from (select origin, record_id, unnest(t) as term, len(t) as n from every) group by 1, 2, 3),
  scored as (select origin, record_id, term, tf, length, df, cf, n from tf join coll using (term))"""
 
+_LEAKS = f"""with dt as (select doc_id, {sql_tokens('text')} as t from documents), it as (select item_id, {sql_tokens('text')} as t from eval_items),
+ dw as (select distinct doc_id, unnest([array_to_string(t[i:i + 9], ' ') for i in range(1, len(t) - 8)]) as w from dt where len(t) >= 10),
+ iw as (select distinct item_id, unnest([array_to_string(t[i:i + 9], ' ') for i in range(1, len(t) - 8)]) as w from it where len(t) >= 10)"""
+
 SQL: dict[str, str] = {
     "p1_found": f"with {_RECORDS} select kind, id_a, id_b from pairs",
     "p2_found": f"""with {_TERMS} select term, case when df < 3 then 'rare' else 'common' end as mark from terms where df < 3 or df > 0.4 * (select count(*) from records)""",
@@ -42,6 +46,10 @@ SQL: dict[str, str] = {
  l as (select x, y from p join n nx on nx._id = x join n ny on ny._id = y where i / (nx.n + ny.n - i) >= 0.5),
  r as (select distinct x as node, x as other from l union select r.node, l.y from r join l on r.other = l.x)
  select min(other) as group_id, node as member_id from r group by node""",
+    "p7_passages": f"{_LEAKS} select doc_id, item_id, count(distinct w)::bigint as windows from dw join iw using (w) group by 1, 2",
+    "p7_found": f"{_LEAKS} select distinct doc_id, item_id from dw join iw using (w)",
+    "p8_found": f"""with t as (select source, len({sql_tokens('text')}) as n from documents), s as (select source, sum(n) as size from t group by 1)
+ select g.source from source_targets g left join s using (source) where g.target_share * (select sum(n) from t) > g.max_repeats * coalesce(s.size, 0)""",
     "p6_found": """with nodes as (select distinct u, v from edge_pairs where u is not null and v is not null and u <> v),
  big as (select u, v, count(*) over (partition by u) as n from nodes qualify count(*) over (partition by u) >= 100)
  select a.u as u_a, b.u as u_b from big a join big b on a.v = b.v and a.u < b.u
