@@ -42,7 +42,7 @@ _EVERY = frozenset().union(*_SETS.values())
 _STRIP = re.compile(r"[^\w\s]+")
 _MARKS = re.compile(r"https?:|\]\(|[|·•»#;€$★]|\s/\s|\s[-*]\s")
 #: Lines of logs, code, change lists and references.
-_TECHNICAL = re.compile(r"\w=\S|^\s*\[\w+\]|^\s*(?:INFO|WARN|ERROR|DEBUG|TRACE)\b|[{};]\s*$|\w\(\w*\)|^\s*(?:def|return|for|if|import|#include|int|void|auto)\b.*[:;{(]|^[+-]{1,3}\s?\w+.*|^@@|^\$ ")
+_TECHNICAL = re.compile(r"\w=\S|^\s*\[\w+\]|^\s*(?:INFO|WARN|ERROR|DEBUG|TRACE)\b|[{};]\s*$|\w\(\w*\)|^\s*(?:def|return|for|if|import|#include|int|void|auto)\b.*[:;{(]|^@@|^\$ ")
 
 
 def page(text: str) -> tuple:
@@ -52,7 +52,7 @@ def page(text: str) -> tuple:
     for line in text.split("\n"):
         t = _STRIP.sub("", line).lower().split()
         words += t
-        technical += [bool(_TECHNICAL.search(line))] * len(t)
+        technical += ["://" not in line and bool(_TECHNICAL.search(line))] * len(t)
     n = len(words)
     if n < MIN_WORDS:
         return ("", n, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0)
