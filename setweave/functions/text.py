@@ -25,7 +25,7 @@ def token_hashes(text: Column) -> Column:
 
 def hash_set(hashes: Column) -> Column:
     """Sorted distinct members."""
-    return F.array_sort(F.array_distinct(hashes))
+    return F.sort_array(F.array_distinct(hashes))
 
 
 def sql_tokens(text: str) -> str:

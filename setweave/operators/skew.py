@@ -40,3 +40,17 @@ def running_sum(rows: DataFrame, group: list[str], order: str, value: str, out:
     starts = totals.withColumn("_s", F.coalesce(F.sum("_t").over(W.partitionBy(*group).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0).cast("long"))).drop("_t")
     inside = F.coalesce(F.sum(value).over(W.partitionBy(*group, "_b").orderBy(order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0).cast("long"))
     return b.withColumn("_i", inside).join(starts, [*group, "_b"]).withColumn(out, F.col("_s") + F.col("_i")).drop("_b", "_s", "_i")
+
+
+def sift(rows: DataFrame, key: str, wanted: DataFrame, bits: int = 22) -> DataFrame:
+    """The rows whose 64-bit `key` may be among `wanted` (one column of the same name), dropped before any shuffle.
+
+    A bitmap of 2**bits bits, whatever the number of keys, is broadcast as at most 2**(bits - 6) words. It lets
+    every wanted row pass and few others; the join that follows decides.
+    """
+    at = lambda c: F.shiftrightunsigned(F.xxhash64(c), 64 - bits)
+    w = wanted.select(at(F.col(key)).alias("_at"))
+    words = w.groupBy(F.shiftrightunsigned("_at", 6).alias("_word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(_at & 63 as int))")).alias("_bits"))
+    tagged = rows.withColumn("_at", at(F.col(key))).withColumn("_word", F.shiftrightunsigned("_at", 6))
+    kept = tagged.join(F.broadcast(words), "_word").where(F.expr("(shiftrightunsigned(_bits, cast(_at & 63 as int)) & 1) = 1"))
+    return kept.drop("_at", "_word", "_bits")
