@@ -12,7 +12,7 @@ from setweave.llm import distinctive, leaks, mixture, near_duplicates, overlap,
 from setweave.llm.sql import SQL  # noqa: F401
 from setweave.llm.term_counts import TermCounts, changes, newest, term_deltas
 from setweave.operators.components import connected_components
-from setweave.operators.skew import skew_join
+from setweave.operators.skew import sift, skew_join
 from setweave.session import materialize, tune
 
 
@@ -36,8 +36,8 @@ def _corpus_similar(spark: SparkSession, d: str, threshold: float = 0.6, min_siz
     words = [f"w{i}" for i in range(similar_sets.CODE_BITS // 64)]
     newest = coded.groupBy("id").agg(F.max(F.struct("fetched_at", "key", "n", *words)).alias("r")).select("id", "r.key", "r.n", *(f"r.{w}" for w in words)).where(F.col("n") >= min_size)
     classes = newest.groupBy("key").agg(F.first("n").alias("n"), F.lit(3).alias("side"), *(F.first(w).alias(w) for w in words))
-    chunks = rows.where(F.col("n") >= min_size).select("key", F.lit(0).cast("long").alias("part"), "elems")
-    pairs = similar_sets.similar_classes(classes, chunks, threshold, coded.count())
+    near = materialize(similar_sets.candidates(classes, threshold, coded.count()), "near")
+    pairs = similar_sets.similar_whole(near, rows.where(F.col("n") >= min_size).select("key", "elems"), threshold)
     return pairs, newest.select("id", "key", "n")
 
 
@@ -45,8 +45,8 @@ def _node_similar(spark: SparkSession, d: str, threshold: float = 0.6, min_size:
     members, chunks = similar_sets.node_sets(read(spark, d, "edge_pairs"), min_size)
     chunks = materialize(chunks, "chunks")
     classes = similar_sets.chunk_codes(chunks).withColumn("side", F.lit(3))
-    pairs = similar_sets.similar_classes(classes, chunks, threshold, members.count())
-    return pairs, members
+    near = materialize(similar_sets.candidates(classes, threshold, members.count()), "near")
+    return similar_sets.similar_parts(near, chunks, threshold), members
 
 
 def _p1(spark: SparkSession, d: str, finish) -> DataFrame:
@@ -78,9 +78,10 @@ def _p5(spark: SparkSession, d: str, threshold: float = 0.5, size: int = 3, min_
     words = [f"w{i}" for i in range(similar_sets.CODE_BITS // 64)]
     newest = coded.groupBy("id").agg(F.max(F.struct("fetched_at", "key", "n", *words)).alias("r")).select("id", "r.key", "r.n", *(f"r.{w}" for w in words)).where(F.col("n") >= min_tokens)
     classes = newest.groupBy("key").agg(*(F.first(w).alias(w) for w in words))
-    pairs = near_duplicates.candidates(classes, coded.count())
-    sets = rows.where(F.col("n") >= min_tokens).select("key", near_duplicates.shingles(F.col("t"), size).alias("elems")).groupBy("key").agg(F.first("elems").alias("elems"))
-    return connected_components(near_duplicates.similar(pairs, sets, threshold)), newest.select("id", "key")
+    near = materialize(near_duplicates.candidates(classes, coded.count()), "near")
+    wanted = sift(rows.select("key", "t"), "key", similar_sets.ends(near))
+    sets = wanted.select("key", near_duplicates.shingles(F.col("t"), size).alias("elems"))
+    return connected_components(similar_sets.similar_whole(near, sets, threshold)), newest.select("id", "key")
 
 
 def p5_groups(spark: SparkSession, d: str) -> DataFrame:
