@@ -6,62 +6,115 @@ after-effect gain, over the length-normalised frequency
     weight = (log2(1 + l) + tfn log2((1 + l) / l)) / (tfn + 1).
 
 Terms in at least 1/HOT of the records, at most HOT times the mean number of distinct terms of a record, whatever
-the collection's size, are joined by broadcast where the records lie; only the rest is shuffled by term.
+the collection's size, are looked up where the records lie; only the rest is shuffled by term.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from setweave.functions.text import tokens
+from setweave.llm import sketch
 from setweave.session import materialize
 
-HOT = 1000
-
-
-def term_frequencies(records: DataFrame) -> DataFrame:
-    """records (origin, record_id, text), one row each -> (origin, record_id, term, tf, length).
-
-    With records already partitioned by (origin, record_id) this shuffles nothing.
+HOT = 5000
+
+
+def weight_of(tf, df, cf, length, n_records: int, average: float) -> np.ndarray:
+    tfn = tf * np.log2(1 + average / length)
+    mean = cf / n_records
+    return (np.log2(1 + mean) + tfn * np.log2((1 + mean) / mean)) / (tfn + 1)
+
+
+def collection_terms(records: DataFrame) -> DataFrame:
+    """records (record_id, text), one row each -> (term, df, cf). Records partitioned by record_id stay where they are."""
+    words = records.select("record_id", F.explode(tokens(F.col("text"))).alias("term"))
+    return words.groupBy("record_id", "term").agg(F.count("*").alias("tf")).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+
+
+class _Frequent:
+    """Looks up the frequent terms' counts by hash."""
+
+    def __init__(self, hashes, df, cf):
+        order = np.argsort(hashes)
+        self.hashes, self.df, self.cf = hashes[order], df[order], cf[order]
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place, found)."""
+        at = np.minimum(np.searchsorted(self.hashes, hashes), max(0, len(self.hashes) - 1))
+        return at, (self.hashes[at] == hashes) if len(self.hashes) else np.zeros(len(hashes), bool)
+
+
+def _rows(frequent: _Frequent, n_records: int, average: float, best: Callable | None):
+    """Batches (origin, record_id, t, h) -> (origin, record_id, term, tf, length, df, weight), the last two null for rarer terms."""
+
+    def run(batches):
+        for b in batches:
+            flat, off = sketch.flat(b.column("h"))
+            if not len(flat):
+                continue
+            h, lengths = flat.view(np.int64), np.diff(off)
+            record = np.repeat(np.arange(b.num_rows), lengths)
+            order = np.lexsort((h, record))
+            new = np.ones(len(h), bool)
+            new[1:] = (h[order][1:] != h[order][:-1]) | (record[order][1:] != record[order][:-1])
+            starts = np.flatnonzero(new)
+            first, tf = order[starts], np.diff(np.append(starts, len(h)))
+            rec, length = record[first], lengths[record[first]]
+            at, found = frequent.find(h[first])
+            df = np.where(found, frequent.df[at] if len(frequent.df) else 1, 0)
+            cf = np.where(found, frequent.cf[at] if len(frequent.cf) else 1, 1)
+            weight = weight_of(tf, df, cf, length, n_records, average)
+            keep = np.ones(len(first), bool)
+            if best is not None:
+                # The most a rarer term can score is its score with a df of 1.
+                most = best(tf, np.where(found, df, 1), n_records)
+                top = np.full(b.num_rows, -np.inf)
+                np.maximum.at(top, rec[found], most[found])
+                keep = most >= top[rec] - 1e-8  # the logarithms of two libraries differ in the last digits
+            words = b.column("t").values.slice(b.column("t").offsets[0].as_py(), len(h)).take(pa.array(first[keep]))
+            cols = [b.column(c).take(pa.array(rec[keep])) for c in ("origin", "record_id")]
+            none = ~found[keep]
+            cols += [words, pa.array(tf[keep].astype(np.int64)), pa.array(length[keep].astype(np.int64)), pa.array(df[keep].astype(np.int64), mask=none), pa.array(weight[keep], mask=none)]
+            yield pa.RecordBatch.from_arrays(cols, names=["origin", "record_id", "term", "tf", "length", "df", "weight"])
+
+    return run
+
+
+def weigh(collection: DataFrame, others: DataFrame | None = None, best: Callable | None = None) -> DataFrame:
+    """(origin, record_id, term, tf, df, n_records, weight) of the terms of `collection` and `others` the collection holds.
+
+    Both are (origin, record_id, text), one row a record; records with null or blank text have no terms. With
+    best, a score(tf, df, n_records) that falls with df, terms that cannot reach their record's highest score
+    may be missing, so that rows of frequent terms needn't leave the task that reads them.
     """
-    t = records.select("origin", "record_id", tokens(F.col("text")).alias("t"))
-    words = t.select("origin", "record_id", F.size("t").alias("length"), F.explode("t").alias("term"))
-    return words.groupBy("origin", "record_id", "term").agg(F.count("*").alias("tf"), F.first("length").cast("long").alias("length"))
-
-
-def collection_terms(frequencies: DataFrame) -> DataFrame:
-    """(term, df, cf) of a collection."""
-    return frequencies.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
-
-
-def weights(frequencies: list[DataFrame], terms: DataFrame, totals: DataFrame) -> list[DataFrame]:
-    """(origin, record_id, term, tf, df, n_records, weight) of every term the collection holds, in parts to be united.
-
-    One part per input with its frequent terms, partitioned as the input is, then one with the others. terms:
-    collection_terms; totals: one row (n_records, average). Terms absent from the collection drop out.
-    """
-    t = terms.join(F.broadcast(totals))
-    hot = t.where(F.col("df") * HOT >= F.col("n_records"))
-    cold = t.where(F.col("df") * HOT < F.col("n_records"))
-    near = [f.join(F.broadcast(hot), "term") for f in frequencies]
-    rest = reduce(DataFrame.unionByName, [f.join(F.broadcast(hot.select("term")), "term", "left_anti") for f in frequencies])
-    tfn = F.col("tf") * F.log2(1 + F.col("average") / F.col("length"))
-    mean = F.col("cf") / F.col("n_records")
+    spark = collection.sparkSession
+    terms = materialize(collection_terms(collection), "terms")
+    n = collection.count()
+    total = terms.agg(F.coalesce(F.sum("cf"), F.lit(0)).alias("cf")).first().cf
+    average = total / max(n, 1)
+    hot = terms.where(F.col("df") * HOT >= n)
+    # At most HOT times the mean number of distinct terms of a record.
+    t = hot.select(F.xxhash64("term").alias("h"), "df", "cf").toArrow()
+    frequent = _Frequent(*(t.column(c).to_numpy() for c in ("h", "df", "cf")))
+    schema = "origin string, record_id string, term string, tf long, length long, df long, weight double"
+    parts = []
+    for records in [collection] if others is None else [collection, others]:
+        r = records.select("origin", "record_id", tokens(F.col("text")).alias("t")).withColumn("h", F.transform("t", lambda x: F.xxhash64(x)))
+        parts.append(r.mapInArrow(_rows(frequent, max(n, 1), average, best), schema))
+    rows = reduce(DataFrame.unionByName, parts)
+    if best is not None:
+        rows = materialize(rows, "best")
+    near = rows.where("df is not null").select("origin", "record_id", "term", "tf", "df", "weight")
+    tfn = F.col("tf") * F.log2(1 + F.lit(average) / F.col("length"))
+    mean = F.col("cf") / F.lit(n)
+    far = rows.where("df is null").drop("df", "weight").join(terms.where(F.col("df") * HOT < n), "term").withColumn("_f", tfn).withColumn("_l", mean)
     weight = (F.log2(1 + F.col("_l")) + F.col("_f") * F.log2((1 + F.col("_l")) / F.col("_l"))) / (F.col("_f") + 1)
-    return [p.withColumn("_f", tfn).withColumn("_l", mean).select("origin", "record_id", "term", "tf", "df", "n_records", weight.alias("weight")) for p in [*near, rest.join(cold, "term")]]
-
-
-def weigh(collection: DataFrame, others: DataFrame | None = None) -> list[DataFrame]:
-    """Weights of the collection's records and of `others` (both (origin, record_id, text)) against the collection.
-
-    Records with null or blank text have no terms. Repeated rows must be removed before.
-    """
-    f = term_frequencies(collection)
-    terms = materialize(collection_terms(f), "terms")
-    sizes = collection.agg(F.count("*").alias("n_records"))
-    mean = terms.agg(F.sum("cf").alias("_all"))
-    totals = sizes.join(F.broadcast(mean)).select("n_records", (F.coalesce("_all", F.lit(0)) / F.greatest(F.col("n_records"), F.lit(1))).alias("average"))
-    return weights([f] if others is None else [f, term_frequencies(others)], terms, materialize(totals, "totals"))
+    both = near.unionByName(far.select("origin", "record_id", "term", "tf", "df", weight.alias("weight")))
+    return both.withColumn("n_records", F.lit(n))

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -136,31 +135,27 @@ def p2_counts(spark: SparkSession, d: str) -> DataFrame:
     return _term_counts(spark, d).marked(3, 0.4)
 
 
-def _weights(spark: SparkSession, d: str) -> list[DataFrame]:
+def _weights(spark: SparkSession, d: str, best=None) -> DataFrame:
     corpus = newest(read(spark, d, "corpus"), "_id", "text", "fetched_at").select(F.lit("corpus").alias("origin"), F.col("id").alias("record_id"), "text")
     queries = newest(read(spark, d, "queries").withColumn("o", F.lit(0)), "_id", "text", "o").select(F.lit("queries").alias("origin"), F.col("id").alias("record_id"), "text")
-    return distinctive.weigh(corpus, queries)
+    return distinctive.weigh(corpus, queries, best)
 
 
 def p4_weights(spark: SparkSession, d: str) -> DataFrame:
     """Weight of every term in every record of corpus and queries."""
-    parts = [w.select("origin", "record_id", "term", "tf", "df", F.round("weight", 6).alias("weight")) for w in _weights(spark, d)]
-    return reduce(DataFrame.unionByName, parts)
-
+    return _weights(spark, d).select("origin", "record_id", "term", "tf", "df", F.round("weight", 6).alias("weight"))
 
-def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    """The terms of highest tf * ln((N + 1) / (1 + df)) of every record, all of them on a tie.
 
-    The weights' rows are ranked within each of their parts first, where a record's rows mostly lie together.
-    """
-    score = F.round(F.col("tf") * F.log((F.col("n_records") + 1) / (1 + F.col("df"))), 9)
+def _inverse_frequency(tf, df, n):
+    return tf * np.log((n + 1) / (1 + df))
 
-    def top(rows: DataFrame, terms) -> DataFrame:
-        tied = rows.groupBy("origin", "record_id", "score").agg(terms.alias("terms"))
-        return tied.groupBy("origin", "record_id").agg(F.max("score").alias("score"), F.max_by("terms", "score").alias("terms"))
 
-    parts = [top(w.withColumn("score", score), F.collect_list("term")) for w in _weights(spark, d)]
-    best = top(reduce(DataFrame.unionByName, parts), F.flatten(F.collect_list("terms")))
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """The terms of highest tf * ln((N + 1) / (1 + df)) of every record, all of them on a tie."""
+    score = F.round(F.col("tf") * F.log((F.col("n_records") + 1) / (1 + F.col("df"))), 9)
+    w = _weights(spark, d, _inverse_frequency).withColumn("score", score)
+    tied = w.groupBy("origin", "record_id", "score").agg(F.collect_list("term").alias("terms"))
+    best = tied.groupBy("origin", "record_id").agg(F.max_by("terms", "score").alias("terms"))
     return best.select("origin", "record_id", F.explode("terms").alias("term"))
 
 
