@@ -1 +1,7 @@
 """Registered queries of the core and their SQL."""
+
+from setweave.catalog import graphs, skewed
+
+_MODULES = (graphs, skewed)
+QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
+SQL = {k: s for m in _MODULES for k, s in m.SQL.items()}
