@@ -1,0 +1,101 @@
+"""Analytic cost of bucketed hash tables: expected probe steps per load factor and bucket size.
+
+For every grid point a bucket's load follows a binomial law, its overflow a stationary law of
+pi' = overflow(pi * load), and the cost is (1 + expected buckets past the first) * reads per step.
+"""
+
+from __future__ import annotations
+
+import math
+
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: The grid and the constants of the cost model.
+ALPHAS = [round(0.1 + 0.05 * i, 2) for i in range(19)]
+BUCKETS = list(range(1, 10))
+K_MAX = 256
+FULL, NEARLY_FULL, TOO_FULL = 1e10, 1e9, 0.95
+
+
+def load_law(size: int, mean: float) -> np.ndarray:
+    """Binomial probabilities that 0..K_MAX of `size` keys hash to one bucket of the given mean load; the last cell takes the tail."""
+    p, top = mean / size, min(size, K_MAX)
+    out = np.zeros(K_MAX + 1)
+    if p >= 1:
+        out[top] = 1.0
+        return out
+    k = np.arange(1, top + 1)
+    ratios = (size - k + 1) / k * (p / (1 - p))
+    out[: top + 1] = np.concatenate([[1.0], np.cumprod(ratios)]) * (1 - p) ** size
+    out[top] += max(0.0, 1.0 - out.sum())
+    return out
+
+
+def poisson_law(mean: float) -> np.ndarray:
+    """The limit of load_law for many keys."""
+    return np.concatenate([[1.0], np.cumprod(mean / np.arange(1, K_MAX + 1))]) * math.exp(-mean)
+
+
+def overflow_law(load: np.ndarray, b: int, tolerance: float = 1e-6) -> np.ndarray:
+    """Stationary law of the keys a bucket passes on; the last iterate but one, as the published figures use."""
+    now = np.zeros(K_MAX + 1)
+    now[0] = 1.0
+    for _ in range(10_000):
+        arrived = np.convolve(now, load)
+        after = np.append(arrived[: b + 1].sum(), arrived[b + 1 : b + K_MAX + 1])
+        after = after / after.sum()
+        if np.abs(after - now).max() < tolerance:
+            break
+        now = after
+    return now
+
+
+def cost(size: int, alpha: float, b: int, w: int, s_trans: int, s_slot: int, law: str = "binomial") -> float:
+    """Predicted cost of a grid point."""
+    load = load_law(size, alpha * b) if law == "binomial" else poisson_law(alpha * b)
+    held = np.convolve(overflow_law(load, b), load)[: K_MAX + 1]
+    full, mean = float(held[b:].sum()), float(np.arange(K_MAX + 1) @ held)
+    if full >= 1 or mean <= 0:
+        return FULL
+    if full > TOO_FULL:
+        return NEARLY_FULL
+    steps = (b * full + float(np.arange(1, b + 1) @ held[:b])) / (1 - full)
+    return steps * (math.ceil(w * s_slot / (mean * s_trans)) + 1)
+
+
+def grid(spark: SparkSession) -> DataFrame:
+    """(alpha, b) of every grid point."""
+    a = spark.sql("select explode(sequence(0, 18)) as i").select(F.round(F.lit(0.1) + F.col("i") * 0.05, 2).alias("alpha"))
+    return a.crossJoin(spark.sql("select explode(sequence(1, 9)) as b"))  # 19 x 9 constants
+
+
+def solve(spark: SparkSession, problems: DataFrame) -> DataFrame:
+    """problems (size, w, s_trans, s_slot) -> one row a grid point with its cost."""
+
+    def run(batches):
+        for p in batches:
+            p["cost"] = [cost(int(r.size_), float(r.alpha), int(r.b), int(r.w), int(r.s_trans), int(r.s_slot)) for r in p.rename(columns={"size": "size_"}).itertuples()]
+            yield p
+
+    g = problems.select("size", "w", "s_trans", "s_slot").distinct().join(F.broadcast(grid(spark)))
+    return g.repartition(F.col("alpha")).mapInPandas(run, "size long, w int, s_trans int, s_slot int, alpha double, b int, cost double")
+
+
+def best(costs: DataFrame) -> DataFrame:
+    """Cheapest grid point of each problem; ties go to the smaller alpha, then b."""
+    return costs.groupBy("size", "w", "s_trans", "s_slot").agg(F.min(F.struct("cost", "alpha", "b")).alias("m")).select("size", "w", "s_trans", "s_slot", "m.alpha", "m.b", "m.cost")
+
+
+def lookup(cache: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Cached answers, (0, 0, inf) where the cache has none."""
+    j = wanted.join(cache, ["size", "w", "s_trans", "s_slot"], "left")
+    return j.select("size", "w", "s_trans", "s_slot", F.coalesce("alpha", F.lit(0.0)).alias("alpha"), F.coalesce("b", F.lit(0)).alias("b"), F.coalesce("cost", F.lit(float("inf"))).alias("cost"))
+
+
+def missing(cache: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Problems still to solve."""
+    return wanted.join(cache, ["size", "w", "s_trans", "s_slot"], "left_anti")
+
+
