@@ -72,7 +72,8 @@ def plan(sized: DataFrame, targets: DataFrame) -> DataFrame:
 def _segments(schedule: Mapping[str, Sequence[tuple[float, float]]]) -> list[tuple]:
     """Pieces (source, t0, h, w0, slope, c0, c1, whole) of the integrated, normalised weight curves."""
     out = []
-    for source, knots in schedule.items():
+    for source, given in schedule.items():
+        knots = [(float(t), float(w)) for t, w in given]
         if len(knots) < 2 or knots[0][0] != 0 or knots[-1][0] != 1 or any(a[0] >= b[0] for a, b in zip(knots, knots[1:])) or any(w < 0 for _, w in knots):
             raise ValueError(f"schedule of {source}: weights of 0 or more at increasing times from 0 to 1")
         areas = [(b[0] - a[0]) * (a[1] + b[1]) / 2 for a, b in zip(knots, knots[1:])]
