@@ -1 +1 @@
-
+"""No streaming operator is part of the surface this engine covers."""
