@@ -2,10 +2,12 @@
 
 A record's fingerprint is a code of one-bit minhashes of its tokens. Each fingerprint table takes `blocks` blocks
 of 7 bits; the anchors are the words of the product of as many Hamming [7,4] codes, which cover every block with
-radius 1. A fingerprint's home is its nearest anchor. It is replicated to every anchor that can be the home of a
-fingerprint one bit away: those within radius plus threshold (1 + 1) in one block and within the radius in the
-others. Homes meet replicas per anchor, a Hamming radius over further bits thins them, and the exact similarity
-of the shingle sets decides. Several tables over different bits bring the recall to the wanted level.
+radius 1. A fingerprint's home is its nearest anchor. The anchors that can be the home of a fingerprint one bit
+away lie within radius plus threshold (1 + 1) in one block and are the home's own in the others. They all lie on the
+home's `blocks` lines (the anchors that differ from it in one block), so a record is sent to its lines, `blocks` rows
+a table, in place of one row an anchor. Records meet per line, a Hamming radius over further bits thins them, and the
+exact similarity of the shingle sets decides. Tables are random divisions of the code; their number is calibrated
+with the number of blocks, so that the recall is the same at every size.
 
 Records with equal token sequences are one class and enter once, so copies never meet each other.
 """
@@ -13,6 +15,7 @@ Records with equal token sequences are one class and enter once, so copies never
 from __future__ import annotations
 
 import math
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,11 +23,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from setweave.llm import sketch
-from setweave.llm.similar_sets import CODE_BITS, hamming_radius, within
+from setweave.llm.similar_sets import CODE_BITS, SEED, hamming_radius, within
 
 #: Similarity of token sets that the Hamming radius has to keep; records with half their shingles in common lie above it.
 TOKEN_SIMILARITY = 0.64
 BITS = 7
+#: Share of the pairs of this token similarity that meet in some table.
+RECALL, MEET_SIMILARITY = 0.99, 0.7
 
 
 def shingles(hashes: Column, size: int) -> Column:
@@ -39,13 +44,31 @@ def shingles(hashes: Column, size: int) -> Column:
 
 
 def blocks_for(n: int) -> int:
-    """Blocks of a table: 16**blocks anchors, growing with the number of records."""
-    return max(1, min(6, round((math.log2(max(n, 2)) - 3) / 4)))
+    """Blocks of a table: 16**(blocks - 1) lines a block, growing with the number of records: 12 to 190 records a line."""
+    return max(2, min(8, 1 + round((math.log2(max(n, 2)) - 5.6) / 4)))
 
 
+def expected_recall(blocks: int, tables: int, similarity: float) -> float:
+    """Chance that two records of this token similarity meet at a line: all homes but one agree in a table.
+
+    Tables share the code's bits, so they are independent only for a given number of differing bits.
+    """
+    home_of = hamming_7_4()[0]
+    flips = np.array([bin(e).count("1") for e in range(128)])
+    stays = np.array([(home_of == home_of[np.arange(128) ^ e]).mean() for e in range(128)])
+    recall, q = 0.0, (1 - similarity) / 2
+    for x in range(CODE_BITS + 1):
+        f = x / CODE_BITS
+        same = float((stays * f**flips * (1 - f) ** (BITS - flips)).sum())
+        meet = same**blocks + blocks * same ** (blocks - 1) * (1 - same)
+        recall += math.comb(CODE_BITS, x) * q**x * (1 - q) ** (CODE_BITS - x) * (1 - (1 - meet) ** tables)
+    return recall
+
+
+@cache
 def tables_for(blocks: int) -> int:
-    """Tables whose joint recall, for a pair that agrees in 9 of 10 bits, is 0.94 or more."""
-    return {1: 16, 2: 12, 3: 8, 4: 5, 5: 6, 6: 6}[blocks]
+    """Fewest tables whose joint recall at MEET_SIMILARITY is RECALL."""
+    return next(t for t in range(1, 1000) if expected_recall(blocks, t, MEET_SIMILARITY) >= RECALL)
 
 
 def hamming_7_4() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -62,48 +85,41 @@ def hamming_7_4() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return far.argmin(1), near, count
 
 
-def anchor_rows(codes: np.ndarray, blocks: int, tables: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """codes: records x bits -> homes (records x tables), and replicas as (record, anchor), homes included."""
-    home_of, near, count = hamming_7_4()
+def line_rows(codes: np.ndarray, blocks: int, tables: int) -> np.ndarray:
+    """codes: records x bits -> the lines of their homes, records x (tables * blocks)."""
+    home_of = hamming_7_4()[0]
     power = 16 ** np.arange(blocks - 1, -1, -1, dtype=np.int64)
-    homes, records, anchors = [], [], []
-    for t in range(tables):
-        words = codes[:, t * BITS * blocks : (t + 1) * BITS * blocks].reshape(len(codes), blocks, BITS).astype(np.int64) @ (1 << np.arange(BITS - 1, -1, -1))
-        own = home_of[words]
-        home = own @ power + (np.int64(t) << (4 * blocks))
-        homes.append(home)
-        records.append(np.arange(len(codes)))
-        anchors.append(home)
+    r = np.random.default_rng(SEED + 2)
+    size = BITS * blocks
+    per = CODE_BITS // size
+    picks = [p[i * size : (i + 1) * size] for p in (r.permutation(CODE_BITS) for _ in range(-(-tables // per))) for i in range(per)][:tables]
+    weights = np.zeros((CODE_BITS, tables * blocks), np.float32)
+    for t, pick in enumerate(picks):
         for j in range(blocks):
-            for i in range(3):
-                has = np.flatnonzero(count[words[:, j]] > i)
-                records.append(has)
-                anchors.append(home[has] + (near[words[has, j], i] - own[has, j]) * power[j])
-    return np.stack(homes, 1), np.concatenate(records), np.concatenate(anchors)
-
+            weights[pick[j * BITS : (j + 1) * BITS], t * blocks + j] = 2.0 ** np.arange(BITS)
+    own = home_of[(codes.astype(np.float32) @ weights).astype(np.int64)].reshape(len(codes), tables, blocks)
+    lines = (own @ power)[:, :, None] - own * power
+    return lines.reshape(len(codes), tables * blocks) + (np.arange(tables * blocks, dtype=np.int64) << (4 * blocks))
 
-def _anchors(blocks: int, tables: int):
-    def lists(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
-        return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(values))
 
+def _lines(blocks: int, tables: int):
     def run(batches):
         for b in batches:
             if b.num_rows:
                 words = np.stack([b.column(f"w{i}").to_numpy() for i in range(CODE_BITS // 64)], 1)
-                homes, records, anchors = anchor_rows(sketch.unpack(words), blocks, tables)
-                order = np.argsort(records, kind="stable")
-                cols = [b.column("key"), b.column("w0"), b.column("w1"), lists(homes.ravel(), np.full(b.num_rows, tables)), lists(anchors[order], np.bincount(records, minlength=b.num_rows))]
-                yield pa.RecordBatch.from_arrays(cols, names=["key", "w0", "w1", "home", "near"])
+                lines = line_rows(sketch.unpack(words), blocks, tables)
+                at = pa.ListArray.from_arrays(pa.array(np.arange(0, lines.size + 1, lines.shape[1], dtype=np.int32)), pa.array(lines.ravel()))
+                yield pa.RecordBatch.from_arrays([b.column("key"), b.column("w0"), b.column("w1"), at], names=["key", "w0", "w1", "line"])
 
     return run
 
 
 def candidates(classes: DataFrame, records: int) -> DataFrame:
-    """classes (key, w0..) -> pairs a < b whose fingerprints meet at an anchor and lie within the radius, each once."""
+    """classes (key, w0..) -> pairs a < b whose fingerprints meet on a line and lie within the radius, each once."""
     blocks = blocks_for(records)
-    placed = classes.mapInArrow(_anchors(blocks, tables_for(blocks)), "key long, w0 long, w1 long, home array<long>, near array<long>")
-    h = placed.select(F.explode("home").alias("anchor"), F.col("key").alias("a"), F.col("w0").alias("a0"), F.col("w1").alias("a1"))
-    r = placed.select(F.explode("near").alias("anchor"), F.col("key").alias("b"), F.col("w0").alias("b0"), F.col("w1").alias("b1"))
+    placed = classes.mapInArrow(_lines(blocks, tables_for(blocks)), "key long, w0 long, w1 long, line array<long>")
+    placed = placed.select("key", "w0", "w1", F.explode("line").alias("line"))
+    x, y = placed.toDF("a", "a0", "a1", "line_a"), placed.toDF("b", "b0", "b1", "line_b")
     apart = F.bit_count(F.col("a0").bitwiseXOR(F.col("b0"))) + F.bit_count(F.col("a1").bitwiseXOR(F.col("b1")))
-    met = h.join(r, (h["anchor"] == r["anchor"]) & (F.col("a") != F.col("b")) & (apart <= hamming_radius(128, TOKEN_SIMILARITY, 0.998)))
-    return within(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), classes, TOKEN_SIMILARITY)
+    met = x.join(y, (F.col("line_a") == F.col("line_b")) & (F.col("a") < F.col("b")) & (apart <= hamming_radius(128, TOKEN_SIMILARITY, 0.998)))
+    return within(met.select("a", "b").distinct(), classes, TOKEN_SIMILARITY)

@@ -178,3 +178,13 @@ def test_p9(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("language", F.lit("x"))
     assert {r.doc_id for r in spam_pages.spam_pages(docs).collect()} == {500, 501, 502}
     assert spam_pages.scores(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("records", [1_000, 20_400, 204_000, 2_040_000, 20_400_000])
+def test_p5_recall_at_every_size(records):
+    r = np.random.default_rng(9)
+    x = r.integers(0, 2, (4000, similar_sets.CODE_BITS), dtype=np.uint8)
+    y = x ^ (r.random(x.shape) < 0.15)  # token similarity 0.7
+    blocks = near_duplicates.blocks_for(records)
+    a, b = (near_duplicates.line_rows(c, blocks, near_duplicates.tables_for(blocks)) for c in (x, y))
+    assert (a == b).any(1).mean() > 0.98
