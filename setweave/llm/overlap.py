@@ -5,8 +5,10 @@ set's hashes up to t are looked up in its edge rows, so the merged sample of the
 members, however far apart the sizes are. shared / sample estimates the shared fraction, sample / t the union
 size, and their product the intersection. Intersections are never built.
 
-Members in very many sets would join to all pairs of their sets. Such members of a sketch, at most `slack` of
-its k, are put aside; a pair counts as a candidate as if it shared all of them, and the exact count decides.
+Members in very many sets are taken in blocks: the smaller sets of such a member are cut into as many parts as its
+number of sets asks, each of which meets all of its sets, so no task holds all pairs of a member. Where only pairs
+sharing a given part of a sketch are wanted, fewer of the most widespread members than that part are put aside: no
+such pair meets through them alone. The pairs found get them back by lookup, so counts are whole.
 """
 
 from __future__ import annotations
@@ -44,21 +46,32 @@ def bottom_k(rows: DataFrame, k: int = K) -> DataFrame:
     return few.withColumn("top", top).drop("r")
 
 
-def estimates(rows: DataFrame, k: int = K, slack: float = 0.05) -> DataFrame:
-    """Every pair sharing part of a sketch: (a, b, na, nb, shared, aside, sample, intersection, union), a the smaller set.
+def _smaller(pairs: DataFrame) -> DataFrame:
+    """Pairs whose a is the smaller set, the lesser id on a tie."""
+    return pairs.where((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b"))))
 
-    `aside` counts the smaller set's sketch members put aside as too widespread (see the module); 0 for almost all.
+
+def estimates(rows: DataFrame, k: int = K, share: float = 0.0) -> DataFrame:
+    """Pairs sharing part of a sketch: (a, b, na, nb, shared, sample, intersection, union), a the smaller set.
+
+    With `share` 0 every such pair; else those sharing at least `share` of the smaller set's sketch, and others.
     """
-    s = bottom_k(rows, k)
     spread = rows.groupBy("v").agg(F.count("*").alias("d")).where(F.col("d") > HOT_MEMBER)
-    s = s.join(spread, "v", "left")
-    rank = F.row_number().over(W.partitionBy("u").orderBy(F.desc_nulls_last("d"), "v"))
-    s = s.withColumn("hot", F.col("d").isNotNull() & (rank <= int(slack * k))).drop("d")
-    s = s.withColumn("aside", F.sum(F.col("hot").cast("long")).over(W.partitionBy("u")))
-    a = s.where("not hot").select("v", F.col("u").alias("a"), F.col("n").alias("na"), "top", "aside")
-    b = rows.select("v", F.col("u").alias("b"), F.col("n").alias("nb"))
-    on = (a["v"] == b["v"]) & (F.col("a") != F.col("b")) & ((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b"))))
-    p = a.join(b, on).groupBy("a", "b", "na", "nb", "top", "aside").agg(F.count("*").alias("shared"))
+    spread = materialize(spread.select("v", "d", F.ceil(F.col("d") / HOT_MEMBER).cast("int").alias("blocks")), "spread")
+    s = bottom_k(rows, k).join(spread, "v", "left")
+    if share > 0:
+        rank = F.row_number().over(W.partitionBy("u").orderBy(F.desc_nulls_last("d"), "v"))
+        s = materialize(s.withColumn("aside", F.col("d").isNotNull() & (rank < share * F.least(F.col("n"), F.lit(k)))), "sketches")
+    else:
+        s = s.withColumn("aside", F.lit(False))
+    a = s.select("v", F.col("u").alias("a"), F.col("n").alias("na"), "top", "aside", F.pmod(F.xxhash64("u"), F.coalesce("blocks", F.lit(1))).cast("int").alias("block"))
+    b = rows.join(spread.select("v", "blocks"), "v", "left").select("v", F.col("u").alias("b"), F.col("n").alias("nb"), F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)).alias("block"))
+    keys = ["a", "b", "na", "nb", "top"]
+    p = _smaller(a.where("not aside").join(b, ["v", "block"]).where("a <> b")).groupBy(*keys).agg(F.count("*").alias("shared"))
+    if share > 0:
+        p = materialize(p, "met")
+        hot = p.select(*keys).join(a.where("aside").select("a", "v"), "a").join(rows.select(F.col("u").alias("b"), "v"), ["b", "v"])
+        p = p.unionByName(hot.groupBy(*keys).agg(F.count("*").alias("shared"))).groupBy(*keys).agg(F.sum("shared").alias("shared"))
     sample = F.greatest(F.lit(1.0), F.least(F.col("na"), F.lit(k)) + F.col("nb") * F.col("top") - F.col("shared"))
     p = p.withColumn("sample", sample).withColumn("union", F.col("sample") / F.col("top"))
     return p.withColumn("intersection", F.col("shared") / F.col("sample") * F.col("union")).drop("top")
@@ -70,8 +83,9 @@ def strong(rows: DataFrame, share: float, k: int = K) -> DataFrame:
     Candidates are the pairs whose estimate lies above share less five standard errors; only they are counted.
     """
     error = 5 * (share * (1 - share) / k) ** 0.5
-    e = estimates(rows, k)
-    near = e.where((F.col("shared") + F.col("aside")) / F.least(F.col("na"), F.lit(k)) >= share - error).select("a", "b", "na", "nb")
+    least = share - error
+    e = estimates(rows, k, max(0.0, least / 2))
+    near = e.where(F.col("shared") / F.least(F.col("na"), F.lit(k)) >= least).select("a", "b", "na", "nb")
     near = materialize(near, "near")
     smaller = near.join(rows.select(F.col("u").alias("a"), "v"), "a")
     both = smaller.join(rows.select(F.col("u").alias("b"), "v"), ["b", "v"])

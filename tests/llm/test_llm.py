@@ -188,3 +188,15 @@ def test_p5_recall_at_every_size(records):
     blocks = near_duplicates.blocks_for(records)
     a, b = (near_duplicates.line_rows(c, blocks, near_duplicates.tables_for(blocks)) for c in (x, y))
     assert (a == b).any(1).mean() > 0.98
+
+
+def test_p6_members_in_many_sets(spark, monkeypatch):
+    """Pairs that share only members in very many sets are found, and the estimates count them."""
+    monkeypatch.setattr(overlap, "HOT_MEMBER", 5)
+    sets = {u: [*range(22), *range(1000 * u, 1000 * u + 78)] for u in range(1, 13)}
+    edges = spark.createDataFrame([(u, 100_000 + v) for u, vs in sets.items() for v in vs], "u long, v long")
+    _, rows = overlap.large_sets(edges, 100)
+    want = {(a, b) for a in sets for b in sets if a < b}
+    assert {(r.a, r.b, r.shared) for r in overlap.strong(rows, 0.2).collect()} == {(*p, 22) for p in want}
+    e = overlap.estimates(rows).collect()
+    assert {(r.a, r.b) for r in e} == want and all(abs(r.intersection - 22) < 1e-6 and abs(r.union - 178) < 1e-6 for r in e)
