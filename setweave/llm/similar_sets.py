@@ -1,7 +1,7 @@
 """All similar pairs between set-valued records: multi-index binary sketches.
 
 Each set gets a code of one-bit minhashes. Several random divisions of the code into disjoint segments (the
-indexes) turn "few differing bits" into equality of at least one segment, which is an equi-join; a Hamming
+indexes, as many as the recall at the threshold asks) turn "few differing bits" into equality of at least one segment, which is an equi-join; a Hamming
 radius calibrated for recall thins the joined pairs; the original sets decide. Equal sets are one class
 throughout, so copies never meet each other.
 
@@ -13,6 +13,7 @@ Nulls: a null set has no members; sets below `min_size` are in no pair. Ties at
 from __future__ import annotations
 
 import math
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,8 @@ from setweave.session import materialize
 CODE_BITS = 256
 PART_SIZE = 8192
 SEED = 20240701
-SEGMENTS = 64
+#: Least share of the pairs exactly at the threshold that agree in some segment.
+RECALL = 0.99
 
 
 def parts(n: Column) -> Column:
@@ -39,17 +41,32 @@ def part_of(member_hash: Column, n: Column) -> Column:
 
 
 def segment_width(n: int) -> int:
-    """Bits of a segment: grows with log2 of the number of sets, so candidates per set grow little.
+    """Bits of a segment: grows with log2 of the number of sets, so sets a segment value stay about as many."""
+    return max(5, min(40, math.floor(math.log2(max(n, 2)) - 5.5)))
 
-    For SEGMENTS segments this also fixes the recall: expected_recall(width, threshold).
+
+def expected_recall(width: int, threshold: float, segments: int) -> float:
+    """Chance that a pair lying exactly at the threshold agrees in a segment.
+
+    Segments share the code's bits, so they are independent only for a given number of differing bits.
     """
-    return max(5, min(40, math.floor(math.log2(max(n, 2)) - 3.5)))
+    recall, q = 0.0, (1 - threshold) / 2
+    for x in range(CODE_BITS + 1):
+        agree = math.comb(CODE_BITS - width, x) / math.comb(CODE_BITS, x)
+        recall += math.comb(CODE_BITS, x) * q**x * (1 - q) ** (CODE_BITS - x) * (1 - (1 - agree) ** segments)
+    return recall
 
 
-def expected_recall(width: int, threshold: float, segments: int = SEGMENTS) -> float:
-    """Recall of the segments, averaged over similarities from the threshold to 1."""
-    agree = (1 + np.linspace(threshold, 1, 200)) / 2
-    return float((1 - (1 - agree**width) ** segments).mean())
+@cache
+def segments_for(width: int, threshold: float) -> int:
+    """Fewest segments, 64 at least, whose joint recall at the threshold is RECALL, whatever the width."""
+    low, high = 63, 64
+    while expected_recall(width, threshold, high) < RECALL:
+        low, high = high, 2 * high
+    while high - low > 1:
+        mid = (low + high) // 2
+        low, high = (low, mid) if expected_recall(width, threshold, mid) >= RECALL else (mid, high)
+    return high
 
 
 def hamming_radius(bits: int, threshold: float, keep: float = 0.998) -> int:
@@ -139,7 +156,7 @@ def candidates(classes: DataFrame, threshold: float, sets: int, between: bool =
     """
     width = segment_width(sets)
     r = hamming_radius(128, threshold)
-    index = classes.mapInArrow(_segments(width, SEGMENTS), "key long, n long, side int, w0 long, w1 long, seg array<long>")
+    index = classes.mapInArrow(_segments(width, segments_for(width, threshold)), "key long, n long, side int, w0 long, w1 long, seg array<long>")
     index = index.select("key", "n", "side", "w0", "w1", F.explode("seg").alias("seg"))
     a, b = (index.toDF(*(f"{x}_{c}" if c != "seg" else f"seg_{x}" for c in index.columns)) for x in "ab")
     near = F.bit_count(F.col("a_w0").bitwiseXOR(F.col("b_w0"))) + F.bit_count(F.col("a_w1").bitwiseXOR(F.col("b_w1"))) <= r

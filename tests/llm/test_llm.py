@@ -4,6 +4,7 @@ import itertools
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -200,3 +201,20 @@ def test_p6_members_in_many_sets(spark, monkeypatch):
     assert {(r.a, r.b, r.shared) for r in overlap.strong(rows, 0.2).collect()} == {(*p, 22) for p in want}
     e = overlap.estimates(rows).collect()
     assert {(r.a, r.b) for r in e} == want and all(abs(r.intersection - 22) < 1e-6 and abs(r.union - 178) < 1e-6 for r in e)
+
+
+@pytest.mark.parametrize("sets", [1_000, 20_400, 204_000, 2_040_000])
+def test_p1_recall_at_the_threshold(sets):
+    r = np.random.default_rng(9)
+    x = r.integers(0, 2, (3000, similar_sets.CODE_BITS), dtype=np.uint8)
+    y = x ^ (r.random(x.shape) < 0.2)  # similarity 0.6
+    width = similar_sets.segment_width(sets)
+    count = similar_sets.segments_for(width, 0.6)
+
+    def segments(codes):
+        words = {f"w{i}": w for i, w in enumerate(similar_sets.sketch.pack(codes).T)}
+        zeros = np.zeros(len(codes), np.int64)
+        batch = pa.RecordBatch.from_pydict({"key": zeros, "n": zeros, "side": zeros, **words})
+        return next(similar_sets._segments(width, count)([batch])).column("seg").values.to_numpy().reshape(len(codes), count)
+
+    assert (segments(x) == segments(y)).any(1).mean() > 0.98
