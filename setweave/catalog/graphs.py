@@ -232,3 +232,29 @@ def match_q7(spark, d):
  select (3 * coalesce(sum(c * (c - 1) // 2), 0))::bigint as n, coalesce(sum(c * (c - 1) // 2), 0)::bigint as distinct_count from c""")
 def match_q8(spark, d):
     return patterns.k5_minus_edge(edges(spark, d, "ol"))
+
+
+# Q4 to Q8 over the view of Q0 to Q3, which holds 4-cliques; "ol" holds none. No SQL: not timed in DuckDB at this view.
+@query(None)
+def match_q4_ps(spark, d):
+    return patterns.k4_with_triangle(edges(spark, d))
+
+
+@query(None)
+def match_q5_ps(spark, d):
+    return patterns.clique_count(edges(spark, d), 5)
+
+
+@query(None)
+def match_q6_ps(spark, d):
+    return patterns.k23_with_edge(edges(spark, d))
+
+
+@query(None)
+def match_q7_ps(spark, d):
+    return patterns.clique_count(edges(spark, d), 6)
+
+
+@query(None)
+def match_q8_ps(spark, d):
+    return patterns.k5_minus_edge(edges(spark, d))

@@ -165,3 +165,11 @@ def test_solver_cache(spark):
 
 def test_registry():
     assert "tc_count" in QUERIES and set(SQL) <= set(QUERIES)
+
+
+def test_clique_patterns_over_a_view_with_cliques(spark, tmp_path):
+    """K7 as (l_partkey, l_suppkey); the orders hold none of it."""
+    rows = [(1000 + i, a, b) for i, (a, b) in enumerate(complete(7))]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    shapes = {"match_q4_ps": 630, "match_q5_ps": 21, "match_q6_ps": 630, "match_q7_ps": 7, "match_q8_ps": 210}
+    assert {q: QUERIES[q](spark, str(tmp_path)).first().distinct_count if q == "match_q8_ps" else one(QUERIES[q](spark, str(tmp_path))) for q in shapes} == shapes
