@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -16,7 +17,11 @@ TUNING = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
     "spark.sql.execution.arrow.maxBytesPerBatch": "67108864",
+    # Shuffle files go when their query ends, so a job of many passes holds the files of one pass only.
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
 }
+#: Applications whose tables are removed when this process ends.
+_tidied: set[str] = set()
 
 
 def build_session(master: str = "local[*]", shuffle_partitions: int = 8, memory: str = "8g", **conf: str) -> SparkSession:
@@ -51,8 +56,19 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def table_path(spark: SparkSession, name: str) -> str:
-    """A fresh path for a table in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/setweave/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    """A fresh path for a table in the shared folder; what is left there goes when the process ends."""
+    folder = f"{shared_dir(spark).rstrip('/')}/setweave/{spark.sparkContext.applicationId}"
+    if folder not in _tidied:
+        _tidied.add(folder)
+        atexit.register(_tidy, spark, folder)
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
+def _tidy(spark: SparkSession, folder: str) -> None:
+    try:
+        drop_path(spark, folder)
+    except Exception:  # noqa: BLE001 - the session ended first, or the folder is gone
+        pass
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
@@ -64,4 +80,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage, and a lost executor costs nothing."""
     path = table_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._setweave_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Remove a table that materialize wrote and nothing reads any more."""
+    drop_path(df.sparkSession, df._setweave_path)
