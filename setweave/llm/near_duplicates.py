@@ -1,13 +1,20 @@
 """Near-duplicate records with small edits: anchor points of a covering code.
 
-A record's fingerprint is a code of one-bit minhashes of its tokens. Each fingerprint table takes `blocks` blocks
-of 7 bits; the anchors are the words of the product of as many Hamming [7,4] codes, which cover every block with
-radius 1. A fingerprint's home is its nearest anchor. The anchors that can be the home of a fingerprint one bit
-away lie within radius plus threshold (1 + 1) in one block and are the home's own in the others. They all lie on the
-home's `blocks` lines (the anchors that differ from it in one block), so a record is sent to its lines, `blocks` rows
-a table, in place of one row an anchor. Records meet per line, a Hamming radius over further bits thins them, and the
-exact similarity of the shingle sets decides. Tables are random divisions of the code; their number is calibrated
-with the number of blocks, so that the recall is the same at every size.
+A record's fingerprint is, per table, a word of three symbols, 32-bit minhashes of its runs of three tokens. A symbol
+is equal in two records with a chance that is the similarity of their run sets, so what is found depends on the
+similarity that counts and on nothing else: an edit here and there, an appended half or a moved passage alike.
+
+The anchors are the words (x, y, x + y) of the parity code. Every word lies within distance 1 of it (covering
+radius 1): changing any one of three symbols makes a code word, so a fingerprint is replicated to three anchors.
+Fingerprints that differ in one symbol at most (threshold 1) share one of them, which replicating within the radius
+on both sides ensures. The number of tables makes RECALL of the pairs exactly at the similarity asked for meet; it
+depends on that similarity alone, never on the number of records.
+
+Records are compared per anchor, by a Hamming radius over 128 further bits, then by their whole run sets. First every
+record is compared with the least record of its anchors; records so linked form components. Then the records of an
+anchor outside the component that has most of its records are compared with all others there. A link that is left
+out joins records of one component, so the groups are those of all pairs, while a group of near copies, however
+large, costs its anchors one comparison a record.
 
 Records with equal token sequences are one class and enter once, so copies never meet each other.
 """
@@ -15,111 +22,123 @@ Records with equal token sequences are one class and enter once, so copies never
 from __future__ import annotations
 
 import math
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from setweave.llm import sketch
-from setweave.llm.similar_sets import CODE_BITS, SEED, hamming_radius, within
+from setweave.llm import sketch, words
+from setweave.llm.similar_sets import newest_coded, of_wanted, similar_whole
+from setweave.operators.components import connected_components
+from setweave.session import discard, materialize
 
-#: Similarity of token sets that the Hamming radius has to keep; records with half their shingles in common lie above it.
-TOKEN_SIMILARITY = 0.64
-BITS = 7
-#: Share of the pairs of this token similarity that meet in some table.
-RECALL, MEET_SIMILARITY = 0.99, 0.7
+#: Least share of the pairs exactly at the threshold that meet at an anchor, and that the Hamming radius keeps.
+RECALL, KEEP = 0.99, 0.999
+BITS = 128
+SYMBOLS = 3
 
 
-def shingles(hashes: Column, size: int) -> Column:
-    """Sorted distinct 32-bit hashes of the runs of `size` consecutive tokens; none for fewer tokens.
+def tables_for(similarity: float) -> int:
+    """Tables, each met by the pairs that agree in two symbols of three or more."""
+    meet = 3 * similarity**2 * (1 - similarity) + similarity**3
+    return max(1, math.ceil(math.log(1 - RECALL) / math.log(1 - meet))) if meet < 1 else 1
 
-    Two of the some 150 shingles of a pair share a hash once in 400 000 pairs, which moves its similarity by less
-    than 0.01: it matters only on the very threshold, and halves what is shuffled.
-    """
-    run = lambda i: F.hash(*(F.get(hashes, i + k) for k in range(size)))
-    every = F.when(F.size(hashes) >= size, F.transform(F.sequence(F.lit(0), F.size(hashes) - size), run)).otherwise(F.array().cast("array<int>"))
-    return F.sort_array(F.array_distinct(every))
 
+def anchors_of(symbols: np.ndarray) -> np.ndarray:
+    """records x (3 tables) symbols -> records x (3 tables) anchors: the code words at distance 1 or less, numbered per table."""
+    w = symbols.reshape(len(symbols), -1, SYMBOLS)
+    a, b, c = (w[:, :, i].astype(np.uint32) for i in range(SYMBOLS))
+    first, second = np.stack([a, a, c - b], 2), np.stack([b, c - a, b], 2)
+    table = np.arange(w.shape[1], dtype=np.uint64)[None, :, None]
+    whole = first.astype(np.uint64) << np.uint64(32) | second.astype(np.uint64)
+    return words.mixed(whole + words.mixed(table + np.uint64(1))).view(np.int64).reshape(len(symbols), -1)
 
-def blocks_for(n: int) -> int:
-    """Blocks of a table: 16**(blocks - 1) lines a block, growing with the number of records: 12 to 190 records a line."""
-    return max(2, min(8, 1 + round((math.log2(max(n, 2)) - 5.6) / 4)))
 
+def _fingerprints(size: int, tables: int):
+    def run(batches):
+        for b in batches:
+            values, off = words.hashed(b.column("text").to_pylist())
+            m = sketch.minima(*words.runs(values, off, size), BITS)
+            w = sketch.pack(sketch.bits(m))
+            symbols = np.ascontiguousarray(m[:, : SYMBOLS * tables]).view(np.uint8)
+            cols = [b.column("id"), b.column("at"), pa.array(words.digest(values, off)), pa.array(np.diff(off)), pa.array(np.ascontiguousarray(w[:, 0])), pa.array(np.ascontiguousarray(w[:, 1]))]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array([r.tobytes() for r in symbols], pa.binary())], names=["id", "at", "key", "n", "w0", "w1", "symbols"])
 
-def expected_recall(blocks: int, tables: int, similarity: float) -> float:
-    """Chance that two records of this token similarity meet at a line: all homes but one agree in a table.
+    return run
 
-    Tables share the code's bits, so they are independent only for a given number of differing bits.
-    """
-    home_of = hamming_7_4()[0]
-    flips = np.array([bin(e).count("1") for e in range(128)])
-    stays = np.array([(home_of == home_of[np.arange(128) ^ e]).mean() for e in range(128)])
-    recall, q = 0.0, (1 - similarity) / 2
-    for x in range(CODE_BITS + 1):
-        f = x / CODE_BITS
-        same = float((stays * f**flips * (1 - f) ** (BITS - flips)).sum())
-        meet = same**blocks + blocks * same ** (blocks - 1) * (1 - same)
-        recall += math.comb(CODE_BITS, x) * q**x * (1 - q) ** (CODE_BITS - x) * (1 - (1 - meet) ** tables)
-    return recall
-
-
-@cache
-def tables_for(blocks: int) -> int:
-    """Fewest tables whose joint recall at MEET_SIMILARITY is RECALL."""
-    return next(t for t in range(1, 1000) if expected_recall(blocks, t, MEET_SIMILARITY) >= RECALL)
-
-
-def hamming_7_4() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each 7-bit word: its nearest code word's number, the numbers of those at distance 2 (up to 3), and how many."""
-    message = (np.arange(16)[:, None] >> np.arange(3, -1, -1)) & 1
-    checks = np.stack([message[:, [0, 1, 3]].sum(1), message[:, [0, 2, 3]].sum(1), message[:, [1, 2, 3]].sum(1)], 1) % 2
-    words = np.concatenate([message, checks], 1)
-    every = (np.arange(128)[:, None] >> np.arange(6, -1, -1)) & 1
-    far = (every[:, None, :] != words[None]).sum(2)
-    near = np.zeros((128, 3), np.int64)
-    count = (far == 2).sum(1)
-    for w in range(128):
-        near[w, : count[w]] = np.flatnonzero(far[w] == 2)
-    return far.argmin(1), near, count
-
-
-def line_rows(codes: np.ndarray, blocks: int, tables: int) -> np.ndarray:
-    """codes: records x bits -> the lines of their homes, records x (tables * blocks)."""
-    home_of = hamming_7_4()[0]
-    power = 16 ** np.arange(blocks - 1, -1, -1, dtype=np.int64)
-    r = np.random.default_rng(SEED + 2)
-    size = BITS * blocks
-    per = CODE_BITS // size
-    picks = [p[i * size : (i + 1) * size] for p in (r.permutation(CODE_BITS) for _ in range(-(-tables // per))) for i in range(per)][:tables]
-    weights = np.zeros((CODE_BITS, tables * blocks), np.float32)
-    for t, pick in enumerate(picks):
-        for j in range(blocks):
-            weights[pick[j * BITS : (j + 1) * BITS], t * blocks + j] = 2.0 ** np.arange(BITS)
-    own = home_of[(codes.astype(np.float32) @ weights).astype(np.int64)].reshape(len(codes), tables, blocks)
-    lines = (own @ power)[:, :, None] - own * power
-    return lines.reshape(len(codes), tables * blocks) + (np.arange(tables * blocks, dtype=np.int64) << (4 * blocks))
-
-
-def _lines(blocks: int, tables: int):
+
+def _placed(batches):
+    for b in batches:
+        symbols = np.frombuffer(b"".join(b.column("symbols").to_pylist()), np.uint32).reshape(b.num_rows, -1)
+        at = anchors_of(symbols)
+        rows = pa.ListArray.from_arrays(pa.array(np.arange(0, at.size + 1, at.shape[1], dtype=np.int32)), pa.array(at.ravel()))
+        yield pa.RecordBatch.from_arrays([b.column("key"), b.column("w0"), b.column("w1"), b.column("root"), rows], names=["key", "w0", "w1", "root", "anchor"])
+
+
+def placed(classes: DataFrame) -> DataFrame:
+    """classes (key, w0, w1, symbols, root) -> one row an anchor: (anchor, key, w0, w1, root)."""
+    p = classes.select("key", "w0", "w1", "symbols", "root").mapInArrow(_placed, "key long, w0 long, w1 long, root long, anchor array<long>")
+    return p.select(F.explode(F.array_distinct("anchor")).alias("anchor"), "key", "w0", "w1", "root")
+
+
+def _apart(x: str, y: str):
+    return F.bit_count(F.col(f"{x}.w0").bitwiseXOR(F.col(f"{y}.w0"))) + F.bit_count(F.col(f"{x}.w1").bitwiseXOR(F.col(f"{y}.w1")))
+
+
+def _pairs(x: str, y: str) -> list:
+    return [F.least(f"{x}.key", f"{y}.key").alias("a"), F.greatest(f"{x}.key", f"{y}.key").alias("b")]
+
+
+def star_candidates(classes: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of a record and the least record of one of its anchors, within the radius."""
+    p = placed(classes.withColumn("root", F.col("key")))
+    least = p.groupBy("anchor").agg(F.min(F.struct("key", "w0", "w1")).alias("l"), F.count("*").alias("c")).where("c > 1").select("anchor", "l.*")
+    met = p.alias("x").join(least.alias("y").hint("merge"), "anchor").where((F.col("x.key") != F.col("y.key")) & (_apart("x", "y") <= sketch.radius(BITS, similarity, KEEP)))
+    return met.select(*_pairs("x", "y")).distinct()
+
+
+def other_candidates(classes: DataFrame, components: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of different components that share an anchor, within the radius."""
+    root = components.select(F.col("node").alias("key"), "root")
+    p = placed(classes.join(root.hint("merge"), "key", "left").withColumn("root", F.coalesce("root", "key")))
+    per = p.groupBy("anchor", "root").agg(F.count("*").alias("c")).groupBy("anchor").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count("*").alias("roots"))
+    mixed = p.join(per.where("roots > 1").select("anchor", "main").hint("merge"), "anchor")
+    x, y = mixed.where("root <> main").alias("x"), mixed.alias("y")
+    near = (F.col("x.anchor") == F.col("y.anchor")) & (F.col("x.root") != F.col("y.root")) & (_apart("x", "y") <= sketch.radius(BITS, similarity, KEEP))
+    return x.hint("merge").join(y, near).select(*_pairs("x", "y")).distinct()
+
+
+def _run_sets(size: int):
     def run(batches):
         for b in batches:
-            if b.num_rows:
-                words = np.stack([b.column(f"w{i}").to_numpy() for i in range(CODE_BITS // 64)], 1)
-                lines = line_rows(sketch.unpack(words), blocks, tables)
-                at = pa.ListArray.from_arrays(pa.array(np.arange(0, lines.size + 1, lines.shape[1], dtype=np.int32)), pa.array(lines.ravel()))
-                yield pa.RecordBatch.from_arrays([b.column("key"), b.column("w0"), b.column("w1"), at], names=["key", "w0", "w1", "line"])
+            values, off = words.hashed(b.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array(words.digest(values, off)), words.lists(*words.distinct(*words.runs(values, off, size)))], names=["key", "elems"])
 
     return run
 
 
-def candidates(classes: DataFrame, records: int) -> DataFrame:
-    """classes (key, w0..) -> pairs a < b whose fingerprints meet on a line and lie within the radius, each once."""
-    blocks = blocks_for(records)
-    placed = classes.mapInArrow(_lines(blocks, tables_for(blocks)), "key long, w0 long, w1 long, line array<long>")
-    placed = placed.select("key", "w0", "w1", F.explode("line").alias("line"))
-    x, y = placed.toDF("a", "a0", "a1", "line_a"), placed.toDF("b", "b0", "b1", "line_b")
-    apart = F.bit_count(F.col("a0").bitwiseXOR(F.col("b0"))) + F.bit_count(F.col("a1").bitwiseXOR(F.col("b1")))
-    met = x.join(y, (F.col("line_a") == F.col("line_b")) & (F.col("a") < F.col("b")) & (apart <= hamming_radius(128, TOKEN_SIMILARITY, 0.998)))
-    return within(met.select("a", "b").distinct(), classes, TOKEN_SIMILARITY)
+def near_groups(texts: DataFrame, similarity: float, size: int, min_tokens: int) -> tuple[DataFrame, DataFrame]:
+    """Delivered rows (id, at, text) -> (components (node, root) of classes, members (id, key, n)).
+
+    Of an id the newest delivery counts. Null and blank texts, and those under min_tokens tokens, are in no group;
+    ties at the similarity are links. No rows give no groups.
+    """
+    tables = tables_for(similarity)
+    schema = "id string, at timestamp, key long, n long, w0 long, w1 long, symbols binary"
+    coded = materialize(texts.select("id", "at", "text").mapInArrow(_fingerprints(size, tables), schema), "fingerprints")
+    members, classes = newest_coded(coded, min_tokens)
+    discard(coded)
+
+    def verified(candidates: DataFrame, name: str) -> DataFrame:
+        near = materialize(candidates, "near")
+        sets = of_wanted(texts, classes, near).select("text").mapInArrow(_run_sets(size), "key long, elems array<long>")
+        return materialize(similar_whole(near, sets, similarity).select("a", "b"), name)
+
+    stars = verified(star_candidates(classes, similarity), "stars")
+    components = connected_components(stars)
+    others = verified(other_candidates(classes, components, similarity), "others")
+    if others.isEmpty():
+        return components, members
+    # Whole components take part in the second round as one node each.
+    return connected_components(components.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(others)), members

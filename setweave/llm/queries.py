@@ -6,12 +6,10 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from setweave.functions.text import hash_set, token_hashes
 from setweave.llm import distinctive, leaks, mixture, near_duplicates, overlap, similar_sets, spam_pages
 from setweave.llm.sql import SQL  # noqa: F401
 from setweave.llm.term_counts import TermCounts, changes, newest, term_deltas
-from setweave.operators.components import connected_components
-from setweave.operators.skew import sift, skew_join
+from setweave.operators.skew import skew_join
 from setweave.session import materialize, tune
 
 
@@ -19,39 +17,15 @@ def read(spark: SparkSession, d: str, table: str) -> DataFrame:
     return tune(spark).read.parquet(f"{d}/{table}.parquet")
 
 
-def term_set_rows(corpus: DataFrame, min_size: int) -> DataFrame:
-    """Delivered rows (id, fetched_at, key, n, elems) with the distinct hashed tokens of text."""
-    s = corpus.where("_id is not null").select(F.col("_id").alias("id"), "fetched_at", hash_set(token_hashes(F.col("text"))).alias("elems"))
-    return s.select("id", "fetched_at", F.xxhash64("elems").alias("key"), F.size("elems").cast("long").alias("n"), "elems")
+def _texts(spark: SparkSession, d: str, text) -> DataFrame:
+    """Delivered corpus rows (id, at, text)."""
+    return read(spark, d, "corpus").where("_id is not null").select(F.col("_id").alias("id"), F.col("fetched_at").cast("timestamp").alias("at"), text.alias("text"))
 
 
-def _corpus_similar(spark: SparkSession, d: str, threshold: float = 0.6, min_size: int = 8) -> tuple[DataFrame, DataFrame]:
-    """(class pairs, members). A record whose text was delivered in several versions counts with the newest."""
-    corpus = read(spark, d, "corpus")
-    rows = term_set_rows(corpus, min_size)
-    # A record below min_size still supersedes its older versions, so it stays, with one dummy member.
-    coded = similar_sets.codes(rows.withColumn("elems", F.when(F.col("n") > 0, F.col("elems")).otherwise(F.array(F.lit(0).cast("long")))))
-    coded = materialize(coded, "coded")
-    words = [f"w{i}" for i in range(similar_sets.CODE_BITS // 64)]
-    newest = coded.groupBy("id").agg(F.max(F.struct("fetched_at", "key", "n", *words)).alias("r")).select("id", "r.key", "r.n", *(f"r.{w}" for w in words)).where(F.col("n") >= min_size)
-    classes = newest.groupBy("key").agg(F.first("n").alias("n"), F.lit(3).alias("side"), *(F.first(w).alias(w) for w in words))
-    near = materialize(similar_sets.candidates(classes, threshold, coded.count()), "near")
-    pairs = similar_sets.similar_whole(near, rows.where(F.col("n") >= min_size).select("key", "elems"), threshold)
-    return pairs, newest.select("id", "key", "n")
-
-
-def _node_similar(spark: SparkSession, d: str, threshold: float = 0.6, min_size: int = 5) -> tuple[DataFrame, DataFrame]:
-    members, chunks = similar_sets.node_sets(read(spark, d, "edge_pairs"), min_size)
-    chunks = materialize(chunks, "chunks")
-    classes = similar_sets.chunk_codes(chunks).withColumn("side", F.lit(3))
-    near = materialize(similar_sets.candidates(classes, threshold, members.count()), "near")
-    return similar_sets.similar_parts(near, chunks, threshold), members
-
-
-def _p1(spark: SparkSession, d: str, finish) -> DataFrame:
+def _p1(spark: SparkSession, d: str, finish, threshold: float = 0.6) -> DataFrame:
     out = None
-    for kind, make in (("corpus", _corpus_similar), ("node", _node_similar)):
-        pairs, members = make(spark, d)
+    both = (("corpus", similar_sets.similar_texts(_texts(spark, d, F.col("text")), threshold, 8)), ("node", similar_sets.similar_nodes(read(spark, d, "edge_pairs"), threshold, 5)))
+    for kind, (pairs, members) in both:
         one = finish(materialize(pairs, "pairs"), members).select(F.lit(kind).alias("kind"), "*")
         out = one if out is None else out.unionByName(one)
     return out
@@ -69,18 +43,8 @@ def p1_links(spark: SparkSession, d: str) -> DataFrame:
 
 def _p5(spark: SparkSession, d: str, threshold: float = 0.5, size: int = 3, min_tokens: int = 8) -> tuple[DataFrame, DataFrame]:
     """(components (node, root) over class keys, members (id, key))."""
-    corpus = read(spark, d, "corpus").where("_id is not null")
     text = F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.coalesce("text", F.lit("")))
-    rows = corpus.select(F.col("_id").alias("id"), "fetched_at", token_hashes(text).alias("t")).withColumn("key", F.xxhash64("t")).withColumn("n", F.size("t"))
-    coded = similar_sets.codes(rows.select("id", "fetched_at", "key", "n", F.when(F.col("n") > 0, hash_set(F.col("t"))).otherwise(F.array(F.lit(0).cast("long"))).alias("elems")))
-    coded = materialize(coded, "coded")
-    words = [f"w{i}" for i in range(similar_sets.CODE_BITS // 64)]
-    newest = coded.groupBy("id").agg(F.max(F.struct("fetched_at", "key", "n", *words)).alias("r")).select("id", "r.key", "r.n", *(f"r.{w}" for w in words)).where(F.col("n") >= min_tokens)
-    classes = newest.groupBy("key").agg(*(F.first(w).alias(w) for w in words))
-    near = materialize(near_duplicates.candidates(classes, coded.count()), "near")
-    wanted = sift(rows.select("key", "t"), "key", similar_sets.ends(near))
-    sets = wanted.select("key", near_duplicates.shingles(F.col("t"), size).alias("elems"))
-    return connected_components(similar_sets.similar_whole(near, sets, threshold)), newest.select("id", "key")
+    return near_duplicates.near_groups(_texts(spark, d, text), threshold, size, min_tokens)
 
 
 def p5_groups(spark: SparkSession, d: str) -> DataFrame:
