@@ -1,18 +1,24 @@
 """Overlap sizes between many large sets: bottom-k hash sketches.
 
-Each set keeps its k smallest member hashes. A pair is merged up to the smaller set's k-th hash t: the larger
-set's hashes up to t are looked up in its edge rows, so the merged sample of the union always has at least k
-members, however far apart the sizes are. shared / sample estimates the shared fraction, sample / t the union
-size, and their product the intersection. Intersections are never built.
-
-Members in very many sets are taken in blocks: the smaller sets of such a member are cut into as many parts as its
-number of sets asks, each of which meets all of its sets, so no task holds all pairs of a member. Where only pairs
-sharing a given part of a sketch are wanted, fewer of the most widespread members than that part are put aside: no
-such pair meets through them alone. The pairs found get them back by lookup, so counts are whole.
+Hashes are uniform in [0, 1). Sets are put in size classes c = 0, 1, .. by powers of four from k members on, and a
+set of class c keeps, for every class a <= c that occurs, its smallest hashes: those up to 4**-a. At the class of
+the smaller set of a pair both sketches reach as far as each other and hold k members or more (the whole set where
+it has fewer), however far apart the sizes are.
+
+The two sketches of a pair are merged: of the m smallest hashes of the union, the last being t, `shared` are in both.
+(m - 1) / t estimates the size of the union, shared / m the shared fraction, and their product the intersection, with
+a relative standard error of about 1 / sqrt(shared). What is merged is counted, not built: m and t follow from the
+counts and last hashes of the two sketches and from `shared`. Where the sketches are the whole sets, all is exact.
+
+Pairs come from an equi-join of sketch rows on the member. Members in very many sketches are taken in blocks, so no
+task holds all pairs of one. Where only pairs sharing a given part of the smaller set are wanted, they are met
+through the rarest members of its sketch alone, as many as cannot all be missing, and then counted in full.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -22,7 +28,8 @@ from setweave.operators.skew import skew_join
 from setweave.session import materialize
 
 K = 512
-HOT_MEMBER = 1000
+#: Sketches holding a member that one block takes.
+BLOCK = 1000
 _UNIT = float(2**63)
 
 
@@ -34,60 +41,66 @@ def large_sets(edges: DataFrame, min_size: int) -> tuple[DataFrame, DataFrame]:
     return sizes, skew_join(pairs, sizes, "u", sizes).select("u", "n", "v", h)
 
 
-def bottom_k(rows: DataFrame, k: int = K) -> DataFrame:
-    """Sketch rows (u, n, v, h, top): the k smallest hashes of each set and the hash `top` they reach (1 for whole sets).
-
-    Hashes are uniform, so those below (k + 8 sqrt k) / n hold the k smallest; the ranking sees only these few.
-    """
-    below = F.lit(k + 8 * k**0.5) / F.col("n")
-    w = W.partitionBy("u").orderBy("h", "v")
-    few = rows.where(F.col("h") <= below).withColumn("r", F.row_number().over(w)).where(F.col("r") <= k)
-    top = F.when(F.col("n") <= k, F.lit(1.0)).otherwise(F.max("h").over(W.partitionBy("u")))
-    return few.withColumn("top", top).drop("r")
+def _class(n, k: int):
+    return F.greatest(F.lit(0), F.floor(F.log(n / k) / math.log(4) + 1e-9)).cast("int")
 
 
-def _smaller(pairs: DataFrame) -> DataFrame:
-    """Pairs whose a is the smaller set, the lesser id on a tie."""
-    return pairs.where((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b"))))
+def sketches(sizes: DataFrame, rows: DataFrame, k: int = K) -> DataFrame:
+    """Sketch rows (level, u, n, own, v, h): per set and level its members with h <= 4**-level; `own` marks the set's class."""
+    levels = sorted(r.c for r in sizes.select(_class(F.col("n"), k).alias("c")).distinct().collect())  # at most log4 of the largest set
+    level = F.explode(F.filter(F.array(*(F.lit(x) for x in levels)), lambda x: (x <= F.col("c")) & (F.col("h") <= F.pow(F.lit(0.25), x)))) if levels else F.lit(0)
+    s = rows.withColumn("c", _class(F.col("n"), k)).withColumn("level", level)
+    return s.select("level", "u", "n", (F.col("level") == F.col("c")).alias("own"), "v", "h")
 
 
-def estimates(rows: DataFrame, k: int = K, share: float = 0.0) -> DataFrame:
-    """Pairs sharing part of a sketch: (a, b, na, nb, shared, sample, intersection, union), a the smaller set.
+def estimates(sizes: DataFrame, rows: DataFrame, k: int = K, share: float = 0.0) -> DataFrame:
+    """Pairs whose sketches share a member: (a, b, na, nb, shared, merged, union, intersection), a the smaller set.
 
-    With `share` 0 every such pair; else those sharing at least `share` of the smaller set's sketch, and others.
+    With `share` above 0 only the pairs that share at least that part of a's sketch are sure to be there.
     """
-    spread = rows.groupBy("v").agg(F.count("*").alias("d")).where(F.col("d") > HOT_MEMBER)
-    spread = materialize(spread.select("v", "d", F.ceil(F.col("d") / HOT_MEMBER).cast("int").alias("blocks")), "spread")
-    s = bottom_k(rows, k).join(spread, "v", "left")
+    s = materialize(sketches(sizes, rows, k), "sketches")
+    per = s.groupBy("level", "u").agg(F.count("*").alias("m"), F.max("h").alias("t"))
+    spread = s.groupBy("level", "v").agg(F.count("*").alias("d"))
+    s = s.join(spread.where("d > 1").hint("merge"), ["level", "v"]).withColumn("blocks", F.ceil(F.col("d") / BLOCK).cast("int"))
+    a = s.where("own").select("level", "v", "d", "blocks", F.col("u").alias("a"), F.col("n").alias("na"), F.pmod(F.xxhash64("u"), F.col("blocks")).cast("int").alias("block"))
     if share > 0:
-        rank = F.row_number().over(W.partitionBy("u").orderBy(F.desc_nulls_last("d"), "v"))
-        s = materialize(s.withColumn("aside", F.col("d").isNotNull() & (rank < share * F.least(F.col("n"), F.lit(k)))), "sketches")
+        size = per.select("level", F.col("u").alias("a"), F.col("m").alias("ma"))
+        a = a.join(size.hint("merge"), ["level", "a"]).withColumn("r", F.row_number().over(W.partitionBy("level", "a").orderBy("d", "v")))
+        # Members in no other sketch are not in `a`, so the ranks of the rest begin behind them.
+        held = F.count("*").over(W.partitionBy("level", "a"))
+        a = a.withColumn("prefix", F.col("r") <= held - F.ceil(F.col("ma") * F.lit(share)) + 1)
     else:
-        s = s.withColumn("aside", F.lit(False))
-    a = s.select("v", F.col("u").alias("a"), F.col("n").alias("na"), "top", "aside", F.pmod(F.xxhash64("u"), F.coalesce("blocks", F.lit(1))).cast("int").alias("block"))
-    b = rows.join(spread.select("v", "blocks"), "v", "left").select("v", F.col("u").alias("b"), F.col("n").alias("nb"), F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)).alias("block"))
-    keys = ["a", "b", "na", "nb", "top"]
-    p = _smaller(a.where("not aside").join(b, ["v", "block"]).where("a <> b")).groupBy(*keys).agg(F.count("*").alias("shared"))
+        a = a.withColumn("prefix", F.lit(True))
+    b = s.select("level", "v", F.col("u").alias("b"), F.col("n").alias("nb"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    smaller = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
+    keys = ["level", "a", "b", "na", "nb"]
+    met = a.where("prefix").hint("merge").join(b, ["level", "v", "block"]).where(smaller).groupBy(*keys).agg(F.count("*").alias("shared"))
     if share > 0:
-        p = materialize(p, "met")
-        hot = p.select(*keys).join(a.where("aside").select("a", "v"), "a").join(rows.select(F.col("u").alias("b"), "v"), ["b", "v"])
-        p = p.unionByName(hot.groupBy(*keys).agg(F.count("*").alias("shared"))).groupBy(*keys).agg(F.sum("shared").alias("shared"))
-    sample = F.greatest(F.lit(1.0), F.least(F.col("na"), F.lit(k)) + F.col("nb") * F.col("top") - F.col("shared"))
-    p = p.withColumn("sample", sample).withColumn("union", F.col("sample") / F.col("top"))
-    return p.withColumn("intersection", F.col("shared") / F.col("sample") * F.col("union")).drop("top")
-
-
-def strong(rows: DataFrame, share: float, k: int = K) -> DataFrame:
-    """Pairs whose shared members are at least `share` of the smaller set: (a, b, na, nb, shared), counted exactly.
-
-    Candidates are the pairs whose estimate lies above share less five standard errors; only they are counted.
+        met = materialize(met, "met")
+        rest = met.select(*keys).join(a.where("not prefix").select("level", "a", "v").hint("merge"), ["level", "a"])
+        more = rest.join(s.select("level", F.col("u").alias("b"), "v").hint("merge"), ["level", "b", "v"]).groupBy(*keys).agg(F.count("*").alias("shared"))
+        met = met.unionByName(more).groupBy(*keys).agg(F.sum("shared").alias("shared"))
+    x, y = per.toDF("level", "a", "ma", "ta"), per.toDF("level", "b", "mb", "tb")
+    p = met.join(x.hint("merge"), ["level", "a"]).join(y.hint("merge"), ["level", "b"]).withColumn("merged", F.col("ma") + F.col("mb") - F.col("shared"))
+    # At level 0 the sketches are the whole sets.
+    union = F.when(F.col("level") == 0, F.col("merged").cast("double")).otherwise((F.col("merged") - 1) / F.greatest("ta", "tb"))
+    p = p.withColumn("union", union).withColumn("intersection", F.col("shared") / F.col("merged") * F.col("union"))
+    return p.select("a", "b", "na", "nb", "shared", "merged", "union", "intersection")
+
+
+def strong(sizes: DataFrame, rows: DataFrame, share: float, k: int = K) -> DataFrame:
+    """Pairs whose estimated intersection is at least `share` of the smaller set: (a, b, na, nb, intersection).
+
+    Estimates within four standard errors of that limit are decided by the exact count instead, if there are any.
     """
-    error = 5 * (share * (1 - share) / k) ** 0.5
-    least = share - error
-    e = estimates(rows, k, max(0.0, least / 2))
-    near = e.where(F.col("shared") / F.least(F.col("na"), F.lit(k)) >= least).select("a", "b", "na", "nb")
-    near = materialize(near, "near")
-    smaller = near.join(rows.select(F.col("u").alias("a"), "v"), "a")
-    both = smaller.join(rows.select(F.col("u").alias("b"), "v"), ["b", "v"])
-    exact = both.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("shared"))
-    return exact.where(F.col("shared") / F.col("na") >= share)
+    error = 4 / (share * k) ** 0.5
+    e = estimates(sizes, rows, k, share * max(0.0, 1 - error)).withColumn("part", F.col("intersection") / F.col("na"))
+    e = materialize(e.where(F.col("part") >= share * (1 - error)), "strong")
+    exact = (F.col("merged") == F.col("union")) | (F.col("part") > share * (1 + error))
+    sure = e.where(exact & (F.col("part") >= share)).select("a", "b", "na", "nb", "intersection")
+    close = materialize(e.where(~exact).select("a", "b", "na", "nb"), "close")
+    if close.isEmpty():
+        return sure
+    both = close.join(rows.select(F.col("u").alias("a"), "v").hint("merge"), "a").join(rows.select(F.col("u").alias("b"), "v").hint("merge"), ["b", "v"])
+    counted = both.groupBy("a", "b", "na", "nb").agg(F.count("*").cast("double").alias("intersection"))
+    return sure.unionByName(counted.where(F.col("intersection") / F.col("na") >= share))

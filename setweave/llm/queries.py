@@ -64,15 +64,13 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of nodes with at least 100 neighbours whose shared neighbours are 20 % of the smaller set or more."""
-    _, rows = overlap.large_sets(read(spark, d, "edge_pairs"), 100)
-    s = overlap.strong(rows, 0.2)
+    s = overlap.strong(*overlap.large_sets(read(spark, d, "edge_pairs"), 100), 0.2)
     return s.select(F.least("a", "b").alias("u_a"), F.greatest("a", "b").alias("u_b"))
 
 
 def p6_overlaps(spark: SparkSession, d: str) -> DataFrame:
-    """Estimated intersection of every pair of large nodes that share part of a sketch."""
-    _, rows = overlap.large_sets(read(spark, d, "edge_pairs"), 100)
-    e = overlap.estimates(rows)
+    """Estimated intersection and union of every pair of large nodes whose sketches share a member."""
+    e = overlap.estimates(*overlap.large_sets(read(spark, d, "edge_pairs"), 100))
     return e.select(F.least("a", "b").alias("u_a"), F.greatest("a", "b").alias("u_b"), F.round("intersection", 3).alias("intersection"), F.round("union", 3).alias("union_size"))
 
 
