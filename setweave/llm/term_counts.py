@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from setweave.functions.text import tokens
-from setweave.session import table_path
+from setweave.session import discard, drop_path, materialize, table_path
 
 STATE = "term string, occurrences long, records long, bucket int"
 #: The row of the state that counts the records themselves; no token is blank.
@@ -52,26 +52,72 @@ def term_deltas(signed: DataFrame, buckets: int) -> DataFrame:
 
 
 class TermCounts:
-    """The persistent counts of one collection under `path`; every merge writes a new version, so a failed one is repeatable."""
+    """The persistent counts of one collection under `path`, which may hold those of an earlier session.
+
+    The table is split by `buckets`. A merge rewrites the buckets its deltas touch, under a new version, and then
+    writes the version's list of where each bucket lies; the newest complete list is the state. A merge that fails
+    before that changes nothing and can be repeated. Lists and buckets of older versions stay until `clean`.
+    """
 
     def __init__(self, spark: SparkSession, path: str | None = None, buckets: int = 64):
         self.spark, self.path, self.buckets, self.version = spark, path or table_path(spark, "term-counts"), buckets, 0
+        self.places: dict[int, int] = {}
+        done = [v for v in self._names("lists") if self._exists(f"lists/{v}/_SUCCESS")]
+        if done:
+            self.version = max(done)
+            rows = spark.read.schema("bucket int, version int, buckets int").parquet(f"{self.path}/lists/{self.version}").collect()  # one row a bucket
+            self.places = {r.bucket: r.version for r in rows if r.bucket >= 0}
+            self.buckets = rows[0].buckets
+
+    def _fs(self, at: str):
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{at}")
+        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
+
+    def _exists(self, at: str) -> bool:
+        fs, p = self._fs(at)
+        return fs.exists(p)
+
+    def _names(self, at: str) -> list[int]:
+        fs, p = self._fs(at)
+        return [int(x.getPath().getName()) for x in fs.listStatus(p) if x.getPath().getName().isdigit()] if fs.exists(p) else []
+
+    def _read(self, places: dict[int, int]) -> DataFrame:
+        paths = [f"{self.path}/data/{v}/bucket={b}" for b, v in places.items()]
+        if not paths:
+            return self.spark.createDataFrame([], STATE)
+        read = self.spark.read.schema("term string, occurrences long, records long").parquet(*paths)
+        return read.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(self.buckets)).cast("int"))
 
     def table(self) -> DataFrame:
-        if not self.version:
-            return self.spark.createDataFrame([], STATE)
-        return self.spark.read.schema(STATE).parquet(f"{self.path}/{self.version}")
+        return self._read(self.places)
 
     def merge(self, deltas: DataFrame) -> TermCounts:
-        """Add the deltas. Terms that no record holds any more leave the state."""
-        if self.version:
-            both = self.table().unionByName(deltas.select("term", "occurrences", "records", "bucket"))
-            deltas = both.groupBy("bucket", "term").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
-        kept = deltas.where("occurrences <> 0 or records <> 0").select("term", "occurrences", "records", "bucket")
-        kept.write.partitionBy("bucket").option("compression", "zstd").parquet(f"{self.path}/{self.version + 1}")
-        self.version += 1
+        """Add the deltas (term_deltas with this table's `buckets`). Terms that no record holds any more leave the state."""
+        deltas = materialize(deltas.select("term", "occurrences", "records", "bucket"), "deltas")
+        touched = {r.bucket for r in deltas.select("bucket").distinct().collect()}  # at most `buckets`
+        new = self.version + 1
+        both = self._read({b: v for b, v in self.places.items() if b in touched}).unionByName(deltas)
+        # Every task writes whole buckets: one file each.
+        sums = both.repartition("bucket").groupBy("bucket", "term").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
+        kept = sums.where("occurrences <> 0 or records <> 0").select("term", "occurrences", "records", "bucket")
+        kept.write.mode("overwrite").partitionBy("bucket").option("compression", "zstd").parquet(f"{self.path}/data/{new}")
+        discard(deltas)
+        # A bucket that lost its last term has no folder.
+        self.places = {b: v for b, v in self.places.items() if b not in touched} | {b: new for b in touched if self._exists(f"data/{new}/bucket={b}")}
+        rows = [(b, v, self.buckets) for b, v in self.places.items()] or [(-1, new, self.buckets)]
+        self.spark.createDataFrame(rows, "bucket int, version int, buckets int").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/lists/{new}")
+        self.version = new
         return self
 
+    def clean(self) -> None:
+        """Remove the lists of older versions and the data no list names."""
+        for v in self._names("lists"):
+            if v != self.version:
+                drop_path(self.spark, f"{self.path}/lists/{v}")
+        for v in self._names("data"):
+            if v not in self.places.values():
+                drop_path(self.spark, f"{self.path}/data/{v}")
+
     def counts(self) -> DataFrame:
         """(term, occurrences, records)."""
         return self.table().where(F.col("term") != ALL).select("term", "occurrences", "records")
