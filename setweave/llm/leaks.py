@@ -3,108 +3,132 @@
 A window is a run of `window` consecutive tokens of an item; a document holds it if the same run occurs there.
 As every shingle of a window has to occur, the necessary prefix of a window, with its shingles ordered by rarity
 in the documents, is its rarest shingle. Documents join on those alone; the shingle's place in the window bounds
-the place and length of the document's run, whose hash must then equal the window's.
+the place and length of the document's run. Runs of equal hash are then compared token by token, in the documents
+that hold one, so the result is exact.
 
-Documents are tokenised once. Positions whose shingle is no item's are sifted out before anything is exchanged,
-by a bitmap of fixed size (2**BITMAP_BITS bits, whatever the number of items); what passes is a join like any.
-Hashes have 64 bits; a run of equal hash is taken as equal.
+Positions whose shingle is no item's are sifted out before anything is exchanged, by a bitmap; of the rest, those
+around which no run's hash is an item's leave a count only. The bitmaps take 32 bits an entry, and 2**MOST_BITS at
+most; past that more positions pass, and the join decides as before.
 Null and blank texts, and texts shorter than a window, hold nothing. Repeated rows count once.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from setweave.functions.text import token_hashes
-from setweave.llm import sketch
-from setweave.session import materialize
+from setweave.llm import words
+from setweave.operators.skew import sift
+from setweave.session import discard, materialize
 
 WINDOW = 10
 SHINGLE = 5
-BITMAP_BITS = 24
-_A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(29))) * _B
-    return x ^ (x >> np.uint64(32))
+MOST_BITS = 27
+BACK = np.arange(WINDOW - SHINGLE + 1)
 
 
-def runs(values: np.ndarray, size: int) -> np.ndarray:
-    """Hash of the `size` values from each position on; the last size - 1 positions are meaningless."""
-    h = np.full(len(values), size, np.uint64)
-    padded = np.concatenate([values, np.zeros(size, np.uint64)])
-    for k in range(size):
-        h = _mixed(h * _A + padded[k : k + len(values)])
-    return h
-
-
-def _ends(off: np.ndarray) -> np.ndarray:
-    """For each position, where its text ends."""
-    return np.repeat(off[1:], np.diff(off))
+def _aligned(values: np.ndarray, off: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of the run of `size` values that begins at each position, 0 and False where the text ends before."""
+    h, _ = words.runs(values, off, size)
+    full = np.arange(len(values)) + size <= np.repeat(off[1:], np.diff(off))
+    out = np.zeros(len(values), np.uint64)
+    out[full] = h
+    return out, full
 
 
 def _windows(batches):
-    """Items -> every window with each of its shingles: (item_id, w, off, shingle)."""
+    """Items -> every window with its tokens and each of its shingles: (item_id, w, tokens, off, shingle)."""
     for b in batches:
-        if b.num_rows:
-            values, off = sketch.flat(b.column("t"))
-            ids = np.repeat(b.column("item_id").to_numpy(), np.diff(off))
-            full = np.flatnonzero(np.arange(len(values)) + WINDOW <= _ends(off))
-            w, s = runs(values, WINDOW), runs(values, SHINGLE)
-            offs = np.arange(WINDOW - SHINGLE + 1)
-            cols = [np.repeat(ids[full], len(offs)), np.repeat(w[full].view(np.int64), len(offs)), np.tile(offs, len(full)), s[(full[:, None] + offs).ravel()].view(np.int64)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int64()))], names=["item_id", "w", "off", "shingle"])
-
-
-def _hits(bitmap: np.ndarray):
+        lists = [words.tokens(t) for t in b.column("text").to_pylist()]
+        values, off = words.hashed_lists(lists)
+        if not len(values):
+            continue
+        w, full = _aligned(values, off, WINDOW)
+        s, _ = _aligned(values, off, SHINGLE)
+        at = np.flatnonzero(full)
+        flat = [t for x in lists for t in x]
+        text = pa.array([" ".join(flat[i : i + WINDOW]) for i in at.tolist()], pa.string())
+        ids = np.repeat(b.column("item_id").to_numpy(), np.diff(off))
+        six = np.repeat(np.arange(len(at)), len(BACK))
+        cols = [pa.array(ids[at][six], pa.int64()), pa.array(w[at][six].view(np.int64)), text.take(pa.array(six)), pa.array(np.tile(BACK, len(at)).astype(np.int32)), pa.array(s[(at[:, None] + BACK).ravel()].view(np.int64))]
+        yield pa.RecordBatch.from_arrays(cols, names=["item_id", "w", "tokens", "off", "shingle"])
+
+
+def _has(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    at = hashes >> np.uint64(64 - int(math.log2(8 * len(bitmap))))
+    return ((bitmap[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
+
+
+def _hits(bitmaps):
     """Documents -> positions whose shingle may be an item's, with the windows that could hold it there."""
-    back = np.arange(WINDOW - SHINGLE + 1)
 
     def run(batches):
+        shingles, windows = bitmaps.value
         for b in batches:
-            if not b.num_rows:
-                continue
-            values, off = sketch.flat(b.column("t"))
+            values, off = words.hashed(b.column("text").to_pylist())
             if not len(values):
                 continue
-            s, ends = runs(values, SHINGLE), _ends(off)
-            at = (s >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)
-            found = ((bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)
-            hit = np.flatnonzero(found & (np.arange(len(values)) + SHINGLE <= ends))
+            s, full = _aligned(values, off, SHINGLE)
+            hit = np.flatnonzero(full & _has(shingles, s))
             if not len(hit):
                 continue
-            w = runs(values, WINDOW).view(np.int64)
-            start = hit[:, None] - back
-            begins = np.repeat(off[:-1], np.diff(off))
-            inside = (start >= begins[hit][:, None]) & (start + WINDOW <= ends[hit][:, None])
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, start.size + 1, len(back), dtype=np.int32)), pa.array(w[np.where(inside, start, 0)].ravel(), mask=~inside.ravel()))
+            w, whole = _aligned(values, off, WINDOW)
+            begin = np.repeat(off[:-1], np.diff(off))
+            start = hit[:, None] - BACK
+            inside = start >= begin[hit][:, None]
+            start = np.where(inside, start, 0)
+            inside &= whole[start] & _has(windows, w[start])
+            some = inside.any(1)
+            size = np.where(some, len(BACK), 0)
+            around = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(w[start[some]].ravel().view(np.int64), mask=~inside[some].ravel()))
             ids = np.repeat(b.column("doc_id").to_numpy(), np.diff(off))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[hit]), pa.array(s[hit].view(np.int64)), lists], names=["doc_id", "shingle", "around"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[hit]), pa.array((hit - begin[hit]).astype(np.int64)), pa.array(s[hit].view(np.int64)), around], names=["doc_id", "pos", "shingle", "around"])
 
     return run
 
 
-def _bitmap(windows: DataFrame) -> np.ndarray:
-    """Bits of the items' shingles; at most 2**BITMAP_BITS numbers reach the driver."""
-    at = windows.select(F.shiftrightunsigned("shingle", 64 - BITMAP_BITS).cast("int").alias("at")).distinct()
-    bits = np.zeros(1 << BITMAP_BITS, np.uint8)
-    for b in at.toArrow().to_batches():
-        bits[b.column("at").to_numpy()] = 1
-    return np.packbits(bits, bitorder="little")
+def _bitmap(hashes: DataFrame) -> np.ndarray:
+    """Bits of 64-bit hashes (column h), merged into 64-bit words before they are collected: 2**(MOST_BITS - 6) at most."""
+    h = hashes.distinct()
+    bits = min(MOST_BITS, max(12, math.ceil(math.log2(max(1, h.count()))) + 5))
+    at = h.select(F.shiftrightunsigned("h", 64 - bits).alias("at"))
+    words64 = at.groupBy(F.shiftrightunsigned("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits")).toArrow()
+    out = np.zeros(1 << (bits - 6), np.uint64)
+    out[words64.column("word").to_numpy()] = words64.column("bits").to_numpy().view(np.uint64)
+    return out.view(np.uint8)
+
+
+def _holds(batches):
+    """Documents with the runs they may hold -> those they do: (doc_id, w, tokens)."""
+    for b in batches:
+        out = []
+        for doc, text, runs in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "runs"))):
+            t = words.tokens(text)
+            out += [(doc, r["w"], r["tokens"]) for r in runs if " ".join(t[r["start"] : r["start"] + WINDOW]) == r["tokens"]]
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.string()))], names=["doc_id", "w", "tokens"])
 
 
 def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     """documents (doc_id, text), items (item_id, text) -> (doc_id, item_id, windows): windows of the item that the document holds."""
-    parts = items.where("item_id is not null").select("item_id", token_hashes(F.col("text")).alias("t")).mapInArrow(_windows, "item_id long, w long, off int, shingle long")
+    spark = documents.sparkSession
+    parts = items.where("item_id is not null").select("item_id", "text").mapInArrow(_windows, "item_id long, w long, tokens string, off int, shingle long")
     windows = materialize(parts.distinct(), "windows")
-    docs = documents.where("doc_id is not null").select("doc_id", token_hashes(F.col("text")).alias("t"))
-    hits = materialize(docs.mapInArrow(_hits(_bitmap(windows)), "doc_id long, shingle long, around array<long>"), "hits")
+    bitmaps = spark.sparkContext.broadcast((_bitmap(windows.select(F.col("shingle").alias("h"))), _bitmap(windows.select(F.col("w").alias("h")))))
+    docs = documents.where("doc_id is not null").select("doc_id", "text")
+    hits = materialize(docs.mapInArrow(_hits(bitmaps), "doc_id long, pos long, shingle long, around array<long>"), "hits")
     rarity = hits.groupBy("shingle").agg(F.count("*").alias("df"))
     order = F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), F.col("shingle"), F.col("off")))
-    prefix = windows.select("w", "off", "shingle").distinct().join(rarity, "shingle", "left").groupBy("w").agg(order.alias("p")).where("p.df > 0").select("w", "p.shingle", "p.off")
-    held = hits.join(prefix, "shingle").where(F.get("around", F.col("off")) == F.col("w")).select("doc_id", "w").distinct()
-    return held.join(windows.select("w", "item_id").distinct(), "w").groupBy("doc_id", "item_id").agg(F.count("*").alias("windows"))
+    prefix = windows.select("w", "tokens", "off", "shingle").distinct().join(rarity.hint("merge"), "shingle", "left").groupBy("w", "tokens").agg(order.alias("p")).where("p.df > 0").select("w", "tokens", "p.shingle", "p.off")
+    near = hits.where(F.size("around") > 0).join(prefix.hint("merge"), "shingle").where(F.get("around", F.col("off")) == F.col("w"))
+    near = materialize(near.select("doc_id", "w", "tokens", (F.col("pos") - F.col("off")).alias("start")).distinct(), "runs")
+    discard(hits)
+    per = near.groupBy("doc_id").agg(F.collect_list(F.struct("w", "tokens", "start")).alias("runs"))
+    wanted = sift(docs.withColumn("_h", F.xxhash64("doc_id")), "_h", near.select(F.xxhash64("doc_id").alias("_h"))).drop("_h")
+    held = wanted.join(per.hint("merge"), "doc_id").mapInArrow(_holds, "doc_id long, w long, tokens string").distinct()
+    named = windows.select("w", "tokens", "item_id").distinct()
+    return held.join(named.hint("merge"), ["w", "tokens"]).groupBy("doc_id", "item_id").agg(F.count("*").alias("windows"))

@@ -37,7 +37,11 @@ def tokens(text: str | None) -> list[str]:
 
 def hashed(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """(token hashes in order, offsets of the texts, one more than texts)."""
-    lists = [tokens(t) for t in texts]
+    return hashed_lists([tokens(t) for t in texts])
+
+
+def hashed_lists(lists: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+    """The same of texts already tokenised."""
     off = np.zeros(len(lists) + 1, np.int64)
     np.cumsum([len(x) for x in lists], out=off[1:])
     return np.fromiter(map(_hashes.__getitem__, chain.from_iterable(lists)), np.uint64, int(off[-1])), off
@@ -52,7 +56,7 @@ def runs(values: np.ndarray, off: np.ndarray, size: int) -> tuple[np.ndarray, np
     """Hashes of the runs of `size` consecutive values of each text, and the offsets; texts shorter than that have none."""
     n = np.maximum(np.diff(off) - (size - 1), 0)
     out_off = np.concatenate([[0], np.cumsum(n)])
-    at = np.arange(out_off[-1]) + np.repeat(off[:-1] - out_off[:-1], n)
+    at = np.arange(out_off[-1], dtype=np.int64) + np.repeat(off[:-1] - out_off[:-1], n)
     h = np.full(len(at), size, np.uint64)
     for k in range(size):
         h = mixed(h * np.uint64(0x9E3779B97F4A7C15) + values[at + k])
