@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import base64
 import math
+import os
 from collections.abc import Mapping, Sequence
 
 import pyarrow as pa
@@ -31,22 +32,28 @@ _encoders: dict = {}
 
 
 def encoder(vocabulary: str):
-    """The tokenizer of a rank file, loaded once a process."""
+    """The tokenizer of a rank file that came with the job, loaded once a process."""
     if vocabulary not in _encoders:
         import tiktoken
+        from pyspark import SparkFiles
 
-        with open(vocabulary, "rb") as f:
+        with open(SparkFiles.get(vocabulary), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         _encoders[vocabulary] = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
     return _encoders[vocabulary]
 
 
 def count_tokens(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """documents with a text column -> the other columns and n_tokens (0 for null texts)."""
+    """documents with a text column -> the other columns and n_tokens (0 for null texts).
+
+    The vocabulary file is read where the driver runs, and goes to the executors with the job.
+    """
     rest = [c for c in documents.columns if c != "text"]
+    documents.sparkSession.sparkContext.addFile(vocabulary)
+    name = os.path.basename(vocabulary)
 
     def run(batches):
-        enc = encoder(vocabulary)
+        enc = encoder(name)
         for b in batches:
             n = [len(enc.encode_ordinary(t)) if t else 0 for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in rest), pa.array(n, pa.int64())], names=[*rest, "n_tokens"])

@@ -135,20 +135,24 @@ def _sized(spark: SparkSession, d: str) -> DataFrame:
     return materialize(mixture.count_tokens(read(spark, d, "documents").select("doc_id", "source", "text")), "sized")
 
 
-def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    """Sources that cannot reach their share."""
-    return mixture.plan(_sized(spark, d), read(spark, d, "source_targets")).where("capped").select("source")
+def _mixed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    sized, targets = _sized(spark, d), read(spark, d, "source_targets")
+    return mixture.mix(sized, targets), sized, targets
 
 
 def p8_mix(spark: SparkSession, d: str) -> DataFrame:
     """The mix in training order."""
-    return mixture.mix(_sized(spark, d), read(spark, d, "source_targets")).orderBy("position")
+    return _mixed(spark, d)[0].orderBy("position")
 
 
 def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     """Shares the mix reaches."""
-    sized, targets = _sized(spark, d), read(spark, d, "source_targets")
-    return mixture.shares(mixture.mix(sized, targets), sized, targets)
+    return mixture.shares(*_mixed(spark, d))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Sources that the mix cannot give their share: repeated as often as they may, they hold fewer tokens than that."""
+    return p8_shares(spark, d).where("capped").select("source")
 
 
 def p9_scores(spark: SparkSession, d: str) -> DataFrame:
