@@ -51,10 +51,11 @@ class _Frequent:
         return at, (self.hashes[at] == hashes) if len(self.hashes) else np.zeros(len(hashes), bool)
 
 
-def _rows(frequent: _Frequent, n_records: int, average: float, best: Callable | None):
+def _rows(shipped, n_records: int, average: float, best: Callable | None):
     """Batches (origin, record_id, t, h) -> (origin, record_id, term, tf, length, df, weight), the last two null for rarer terms."""
 
     def run(batches):
+        frequent = shipped.value
         for b in batches:
             flat, off = sketch.flat(b.column("h"))
             if not len(flat):
@@ -102,7 +103,7 @@ def weigh(collection: DataFrame, others: DataFrame | None = None, best: Callable
     hot = terms.where(F.col("df") * HOT >= n)
     # At most HOT times the mean number of distinct terms of a record.
     t = hot.select(F.xxhash64("term").alias("h"), "df", "cf").toArrow()
-    frequent = _Frequent(*(t.column(c).to_numpy() for c in ("h", "df", "cf")))
+    frequent = spark.sparkContext.broadcast(_Frequent(*(t.column(c).to_numpy() for c in ("h", "df", "cf"))))
     schema = "origin string, record_id string, term string, tf long, length long, df long, weight double"
     parts = []
     for records in [collection] if others is None else [collection, others]:
