@@ -1,159 +1,208 @@
 """Keyword-stuffed and link-list pages: robust Mahalanobis distance per language.
 
-Features of a page: density of links, separators and prices, entropy of its words, repetition of word pairs,
-share of function words, and share of words standing in prose. Per detected language the centre is the median,
-the scale the median absolute deviation, and the scatter the correlation of the pages within the bulk, all over
-all pages. Pages far out whose deviation points where spam lies are outliers; of them, those of whose words more
-than half stand in no prose or belong to repeated phrases are spam pages.
-
-Null and blank texts, and pages under MIN_WORDS words, are no spam. Repeated rows are judged each.
+A page is cut into passages of about PASSAGE words; characters of scripts written without spaces are words. Features
+of a passage: density of marks that separate items (links, hash tags, prices, bare symbols), entropy (how surprising
+its words are among the page's), repetition (words in pairs that the page repeats), share of function words, and
+share of code (words with operators, brackets or joined by underscores), in which logs and code differ from spam.
+
+Per language the centre is the median over all passages, the scale the median absolute deviation, and the scatter
+the correlation of the passages within the bulk. A passage is an outlier if its squared Mahalanobis distance exceeds
+CUT; it lies in the spam direction if its deviation, in the metric of the scatter, forms an angle with DIRECTION
+whose cosine is ANGLE or more. A page more than half of whose words stand in such passages is spam.
+
+The language of a page is the one whose function words are most frequent in it, the script deciding for Chinese;
+the lists are the closed word classes of each language. Null and blank texts have no passage and are no spam; short
+passages count for less, by n / (n + SHRINK). Repeated rows are judged each.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from setweave.session import materialize
 
-#: Frequent function words by language.
+#: Articles, pronouns, prepositions, conjunctions, auxiliary verbs and particles by language.
 FUNCTION_WORDS = {
-    "en": "the a an any every each some this that these those another our my your their its one no of in on at by for with from to behind inside under over into onto as than if when while whenever after before because unless although since until so but and or why does do did is are was were be been stays it he she they we i you not nobody how what which who",
-    "de": "der die das den dem des ein eine einer eines einem einen jede jeder jedes dieser diese dieses und oder aber sobald obwohl wenn weil während nach vor mit in auf unter über für von zu ohne ist sind nicht",
-    "fr": "le la les un une des du de ce cette ces chaque et ou mais si quand dans sur sous avec sans pour par est sont ne pas que qui car aux au notre avant après bien",
-    "es": "el la los las un una unos unas del de este esta estos cada y o pero si cuando en sobre bajo con sin para por es son no que porque al aunque mientras",
+    "en": "a an the this that these those each every any some all both another other no one i you he she it we they me him her us them my your his its our their who whom whose which what nobody nothing anybody somebody everybody of in on at by for with from to into onto over under after before behind between through during without within across against about above below near upon inside outside as than if when whenever while because although though since until unless whether so but and or nor yet not is are was were be been being am do does did has have had will would can could shall should may might must there here then also only why how where",
+    "de": "der die das den dem des ein eine einen einem einer eines jede jeder jedes jeden dieser diese dieses diesen diesem kein keine mein dein sein ihr unser ich du er sie es wir man wer was welche welcher sich in im an am auf aus bei mit nach von vom vor zu zum zur über unter neben zwischen durch für gegen ohne um seit während und oder aber sondern denn weil obwohl wenn sobald als ob dass nicht auch nur noch schon ist sind war waren wird werden hat haben kann können muss soll",
+    "fr": "le la les l un une des du de d ce cet cette ces chaque aucun mon ton son notre votre leur je tu il elle nous vous ils elles on se qui que quoi dont où au aux à dans sur sous avec sans pour par en vers chez entre depuis pendant avant après et ou mais donc car ni si quand lorsque comme parce bien dès ne pas plus est sont était a ont sera peut doit y",
+    "es": "el la los las lo un una unos unas este esta estos estas ese esa cada ningún mi tu su nuestro nuestra yo tú él ella nosotros ellos se que quien cual cuyo donde a al de del en con sin por para sobre bajo tras ante entre desde hasta hacia durante antes después y e o u pero sino porque aunque cuando si como no ni es son era fue ha han será puede debe",
+    "zh": "的 了 着 在 是 和 与 或 不 没 也 都 就 而 但 因 为 此 如 果 若 时 后 前 随 有 这 那 各 每 从 到 对 被 把 将 于 之 其 所 以 及 并 再 又 还 只 很 更 最 上 下 内 第 同 们 它 他 我 你",
 }
-FEATURES = ["density", "entropy", "repetition", "function", "prose"]
-#: Where spam lies from the centre of ordinary pages, by feature.
+FEATURES = ["density", "entropy", "repetition", "function", "code"]
+#: Where spam lies from the centre of ordinary passages, by feature.
 DIRECTION = np.array([1.0, -1.0, 1.0, -1.0, -1.0])
-FLOOR = np.array([0.05, 0.02, 0.03, 0.03, 0.03])
-CUT = 20.5  # chi-square with 5 degrees of freedom, 99.9 %
+FLOOR = np.full(len(FEATURES), 0.05)
+CUT = 15.09  # chi-square with 5 degrees of freedom, 99 %
+ANGLE = 0.3
 BULK = 3.5
-MIN_WORDS = 8
-MIN_REPEATS = 4
-REACH = 4
-_SETS = {k: frozenset(v.split()) for k, v in FUNCTION_WORDS.items()}
-_EVERY = frozenset().union(*_SETS.values())
-_STRIP = re.compile(r"[^\w\s]+")
-_MARKS = re.compile(r"https?:|\]\(|[|·•»#;€$★]|\s/\s|\s[-*]\s")
-#: Lines of logs, code, change lists and references.
-_TECHNICAL = re.compile(r"\w=\S|^\s*\[\w+\]|^\s*(?:INFO|WARN|ERROR|DEBUG|TRACE)\b|[{};]\s*$|\w\(\w*\)|^\s*(?:def|return|for|if|import|#include|int|void|auto)\b.*[:;{(]|^@@|^\$ ")
-
-
-def page(text: str) -> tuple:
-    """(language, words, features..., spam words' share) of a text."""
-    words: list[str] = []
-    technical: list[bool] = []
-    for line in text.split("\n"):
-        t = _STRIP.sub("", line).lower().split()
-        words += t
-        technical += ["://" not in line and bool(_TECHNICAL.search(line))] * len(t)
-    n = len(words)
-    if n < MIN_WORDS:
-        return ("", n, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0)
-    wide = np.fromiter((max(w) >= "⺀" for w in words), bool, n)
-    function = np.fromiter((w in _EVERY for w in words), bool, n)
-    c = Counter(words)
-    language = "zh" if wide.mean() > 0.3 else max(_SETS, key=lambda k: sum(c[w] for w in _SETS[k] if w in c))
-    counts = np.fromiter(c.values(), float)
-    p = counts / n
-    entropy = float(-(p * np.log2(p)).sum() / np.log2(n))
-    pairs = Counter((a, b) for a, b, fa, fb in zip(words, words[1:], function, function[1:]) if not (fa or fb))
-    often = {k for k, v in pairs.items() if v >= MIN_REPEATS}
-    repeated = np.zeros(n, bool)
-    if often:
-        at = np.fromiter((x in often for x in zip(words, words[1:])), bool, n - 1)
-        repeated[:-1] |= at
-        repeated[1:] |= at
-    weight = np.concatenate([[0], np.cumsum(function + 2 * wide)])
-    i = np.arange(n)
-    prose = weight[np.minimum(n, i + REACH + 1)] - weight[np.maximum(0, i - REACH)] >= 2
-    tech = np.array(technical)
-    ordinary = prose | tech
-    spam = float(((~ordinary) | (repeated & ~tech)).mean())
-    return (language, n, len(_MARKS.findall(text)) / n, entropy, float(repeated.mean()), float((function | wide).mean()), float(ordinary.mean()), spam)
-
-
-SCHEMA = "doc_id long, language string, n_words int, density double, entropy double, repetition double, `function` double, prose double, spam_share double"
-
-
-def _pages(batches):
+PASSAGE, SHRINK, REPEATS = 24, 4, 3
+SPAM_SHARE = 0.5
+_LANGUAGES = list(FUNCTION_WORDS)
+_SETS = [frozenset(v.split()) for v in FUNCTION_WORDS.values()]
+_UNSPACED = re.compile(r"([぀-ヿ㐀-鿿가-힯豈-﫿])")
+_STRIP = re.compile(r"[^\w]+")
+_MARK = re.compile(r"://|^www\.|^#\w|[$€£¥|•·★»]|^\W+$|\]\(")
+_CODE = re.compile(r"[={}<>\\@]|\w\(|\)\W*;|^\+\+|^--|\w_\w|^\[\d+\]")
+#: Bits of a word's number: languages whose function word it is, then mark, code, wide, no word; the hash above them.
+_MARKED, _CODED, _WIDE, _BARE, _BITS = 8, 9, 10, 11, 12
+
+
+class _Words(dict):
+    """Raw token -> its hash and flags in one number; emptied when it holds a million."""
+
+    def __missing__(self, raw: str) -> int:
+        if len(self) >= 1 << 20:
+            self.clear()
+        word = _STRIP.sub("", raw).lower()
+        flags = sum((word in s) << i for i, s in enumerate(_SETS))
+        flags |= bool(_MARK.search(raw)) << _MARKED | (bool(_CODE.search(raw)) and "://" not in raw) << _CODED | bool(_UNSPACED.match(word)) << _WIDE | (not word) << _BARE
+        n = self[raw] = (xxhash.xxh64_intdigest(word) >> _BITS << _BITS | flags) & 0x7FFFFFFFFFFFFFFF
+        return n
+
+
+_words = _Words()
+
+
+def _split(text: str | None) -> list[str]:
+    return _UNSPACED.sub(r" \1 ", text).split() if text else []
+
+
+def _counted(page: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """For each row how many rows of its page have its key."""
+    order = np.lexsort((key, page))
+    p, k = page[order], key[order]
+    new = np.ones(len(p), bool)
+    new[1:] = (p[1:] != p[:-1]) | (k[1:] != k[:-1])
+    begins = np.flatnonzero(new)
+    out = np.empty(len(p), np.int64)
+    out[order] = np.repeat(np.diff(np.append(begins, len(p))), np.diff(np.append(begins, len(p))))
+    return out
+
+
+def passages(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(number of the text, language number, words, features) of every passage, one after another."""
+    lists = [_split(t) for t in texts]
+    raw = np.fromiter(map(_words.__getitem__, chain.from_iterable(lists)), np.int64, sum(map(len, lists)))
+    page = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+    flag = lambda x, bit: (x >> bit) & 1
+    # Symbols alone count as marks of the word before.
+    bare = flag(raw, _BARE).astype(bool)
+    at = np.flatnonzero(~bare)
+    if not len(at):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, len(FEATURES)))
+    word, page_of = raw[at], page[at]
+    owner = np.maximum(np.searchsorted(at, np.flatnonzero(bare), "right") - 1, 0)
+    marks = flag(word, _MARKED).astype(float)
+    np.add.at(marks, owner[page_of[owner] == page[bare]], 1.0)
+    marks = np.minimum(marks, 1.0)
+    n = np.bincount(page_of, minlength=len(lists))
+    hits = np.stack([np.bincount(page_of, flag(word, i), len(lists)) for i in range(len(_LANGUAGES))], 1)
+    wide = np.bincount(page_of, flag(word, _WIDE), len(lists)) > 0.3 * n
+    hits[:, _LANGUAGES.index("zh")] = np.where(wide, np.inf, -1)
+    language = hits.argmax(1)
+    function = flag(word, language[page_of]).astype(float)
+    key = word >> _BITS
+    surprise = np.where(n[page_of] > 1, -np.log2(_counted(page_of, key) / n[page_of]) / np.log2(np.maximum(n[page_of], 2)), 1.0)
+    pair = np.zeros(len(word), bool)
+    pair[:-1] = (page_of[1:] == page_of[:-1]) & ~((function[1:] > 0) | (function[:-1] > 0))
+    first = np.flatnonzero(pair)
+    often = first[_counted(page_of[first], key[first] * 31 + key[first + 1]) >= REPEATS]
+    repeated = np.zeros(len(word))
+    repeated[often], repeated[often + 1] = 1.0, 1.0
+    # The last passage of a page takes what is left, half a passage or more over.
+    begin = np.concatenate([[0], np.cumsum(n)])
+    place = np.arange(len(word)) - begin[page_of]
+    number = np.minimum(place // PASSAGE, np.maximum((n[page_of] + PASSAGE // 2) // PASSAGE - 1, 0))
+    edges = np.flatnonzero((np.diff(page_of, prepend=-1) != 0) | (np.diff(number, prepend=-1) != 0))
+    size = np.diff(np.append(edges, len(word)))
+    mean = lambda x: np.add.reduceat(x, edges) / size
+    features = np.stack([mean(marks), mean(surprise), mean(repeated), mean(function), mean(flag(word, _CODED).astype(float))], 1)
+    return page_of[edges], language[page_of[edges]], size, features
+
+
+SCHEMA = "doc_id long, part int, language string, n_words long, density double, entropy double, repetition double, `function` double, code double"
+
+
+def _passages(batches):
+    names = np.array(_LANGUAGES)
     for b in batches:
-        rows = [page(t or "") for t in b.column("text").to_pylist()]
-        cols = list(zip(*rows)) or [()] * 8
-        types = [pa.string(), pa.int32(), *[pa.float64()] * 6]
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, t) for c, t in zip(cols, types))], names=["doc_id", "language", "n_words", *FEATURES, "spam_share"])
+        at, language, size, x = passages(b.column("text").to_pylist())
+        first = np.concatenate([[0], np.flatnonzero(np.diff(at)) + 1]) if len(at) else np.zeros(0, np.int64)
+        part = np.arange(len(at)) - np.repeat(first, np.diff(np.append(first, len(at))))
+        cols = [b.column("doc_id").take(pa.array(at)), pa.array(part.astype(np.int32)), pa.array(names[language], pa.string()), pa.array(size.astype(np.int64)), *(pa.array(np.ascontiguousarray(x[:, i])) for i in range(len(FEATURES)))]
+        yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "part", "language", "n_words", *FEATURES])
 
 
 def features(documents: DataFrame) -> DataFrame:
-    """documents (doc_id, text) -> one row each: language, words, features and the share of spam words."""
-    return documents.select("doc_id", "text").mapInArrow(_pages, SCHEMA)
+    """documents (doc_id, text) -> their passages: (doc_id, part, language, n_words, features)."""
+    return documents.select("doc_id", "text").mapInArrow(_passages, SCHEMA)
 
 
-def fit(pages: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """language -> (median, scale, inverse correlation), from all pages. Languages are the handful that page() tells apart."""
-    used = pages.where(F.col("n_words") >= MIN_WORDS)
-    med = {r[0]: np.array(r[1:], float) for r in used.groupBy("language").agg(*(F.percentile_approx(f, 0.5, 1000) for f in FEATURES)).collect()}
+def fit(parts: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """language -> (median, scale, inverse correlation), from all passages."""
+    used = parts.where(F.col("n_words") >= PASSAGE // 2)
+    middle = lambda df: {r[0]: np.array(r[1:], float) for r in df.groupBy("language").agg(*(F.percentile_approx(f, 0.5, 1000) for f in FEATURES)).collect()}  # noqa: E731 - a row a language
+    med = middle(used)
     if not med:
         return {}
-    of = lambda f, i: F.create_map(*(x for k, m in med.items() for x in (F.lit(k), F.lit(float(m[i])))))[F.col("language")]
-    away = used.select("language", *(F.abs(F.col(f) - of(f, i)).alias(f) for i, f in enumerate(FEATURES)))
-    scale = {r[0]: np.maximum(1.4826 * np.array(r[1:], float), FLOOR) for r in away.groupBy("language").agg(*(F.percentile_approx(f, 0.5, 1000) for f in FEATURES)).collect()}
-    z = standardised(used, med, scale)
-    bulk = z.where(F.greatest(*(F.abs(F.col(f"z_{f}")) for f in FEATURES)) <= BULK)
+    constants = lambda t: F.create_map(*(x for k, v in t.items() for x in (F.lit(k), F.array(*(F.lit(float(y)) for y in v)))))[F.col("language")]
+    centred = used.withColumn("_m", constants(med)).select("language", *((F.col(f) - F.col("_m")[i]).alias(f) for i, f in enumerate(FEATURES)))
+    scale = {k: np.maximum(1.4826 * v, FLOOR) for k, v in middle(centred.select("language", *(F.abs(f).alias(f) for f in FEATURES))).items()}
+    z = centred.withColumn("_s", constants(scale)).select("language", *((F.col(f) / F.col("_s")[i]).alias(f) for i, f in enumerate(FEATURES)))
+    bulk = z.where(F.greatest(*(F.abs(f) for f in FEATURES)) <= BULK)
     pairs = [(i, j) for i in range(len(FEATURES)) for j in range(i, len(FEATURES))]
-    sums = bulk.groupBy("language").agg(*(F.avg(F.col(f"z_{FEATURES[i]}") * F.col(f"z_{FEATURES[j]}")) for i, j in pairs)).collect()
+    sums = {r[0]: r[1:] for r in bulk.groupBy("language").agg(*(F.avg(F.col(FEATURES[i]) * F.col(FEATURES[j])) for i, j in pairs)).collect()}
     out = {}
     for k in med:
         cov = np.eye(len(FEATURES))
-        for r in sums:
-            if r[0] == k:
-                for (i, j), v in zip(pairs, r[1:]):
-                    cov[i, j] = cov[j, i] = v
+        for (i, j), v in zip(pairs, sums.get(k, ())):
+            cov[i, j] = cov[j, i] = v
         d = np.sqrt(np.maximum(np.diag(cov), 1e-6))
-        cor = 0.8 * cov / np.outer(d, d) + 0.2 * np.eye(len(d))
-        out[k] = (med[k], scale[k], np.linalg.inv(cor))
+        out[k] = (med[k], scale[k], np.linalg.inv(0.8 * cov / np.outer(d, d) + 0.2 * np.eye(len(d))))
     return out
 
 
-def standardised(pages: DataFrame, med: dict, scale: dict) -> DataFrame:
-    """Adds z_feature columns."""
-    cols = {}
-    for i, f in enumerate(FEATURES):
-        m = F.create_map(*(x for k in med for x in (F.lit(k), F.struct(F.lit(float(med[k][i])).alias("m"), F.lit(float(scale[k][i])).alias("s")))))[F.col("language")]
-        cols[f"z_{f}"] = (F.col(f) - m["m"]) / m["s"]
-    return pages.withColumns(cols)
+def judge(model: dict, language: np.ndarray, size: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(squared distance, cosine of the angle with the spam direction) of passages."""
+    distance, cosine = np.zeros(len(x)), np.zeros(len(x))
+    for k, (med, scale, inverse) in model.items():
+        own = language == k
+        z = (x[own] - med) / scale * (size[own] / (size[own] + SHRINK))[:, None]
+        d2 = np.einsum("ij,jk,ik->i", z, inverse, z)
+        distance[own] = d2
+        cosine[own] = z @ inverse @ DIRECTION / np.sqrt(np.maximum(d2, 1e-12) * (DIRECTION @ inverse @ DIRECTION))
+    return distance, cosine
 
 
 def scores(documents: DataFrame) -> DataFrame:
-    """(doc_id, language, n_words, distance, towards, spam_share, outlier): squared distance, and deviation along the spam direction."""
-    pages = materialize(features(documents), "pages")
-    model = fit(pages)
-    if not model:
-        return pages.select("doc_id", "language", "n_words", F.lit(0.0).alias("distance"), F.lit(0.0).alias("towards"), "spam_share", F.lit(False).alias("outlier"))
-    z = standardised(pages, {k: v[0] for k, v in model.items()}, {k: v[1] for k, v in model.items()})
-    zs = [F.col(f"z_{f}") for f in FEATURES]
-
-    def quadratic(inverse: np.ndarray):
-        terms = [(1 if i == j else 2) * float(inverse[i, j]) * zs[i] * zs[j] for i in range(len(zs)) for j in range(i, len(zs))]
-        return sum(terms[1:], terms[0])
-
-    distance, towards = F.lit(0.0), F.lit(0.0)
-    for k, (_, _, inverse) in model.items():
-        distance = F.when(F.col("language") == k, quadratic(inverse)).otherwise(distance)
-        # Deviation along the spam direction in the metric of the bulk.
-        d = inverse @ DIRECTION / np.sqrt(DIRECTION @ inverse @ DIRECTION)
-        towards = F.when(F.col("language") == k, sum((float(x) * c for x, c in zip(d[1:], zs[1:])), float(d[0]) * zs[0])).otherwise(towards)
-    s = z.select("doc_id", "language", "n_words", distance.alias("distance"), towards.alias("towards"), "spam_share")
-    far = (F.col("n_words") >= MIN_WORDS) & (F.col("distance") > CUT) & (F.col("towards") > 0)
-    return s.withColumn("outlier", F.coalesce(far, F.lit(False)))
+    """One row a document with words: (doc_id, language, n_words, distance, cosine, spam_share), the two means weighted by words.
+
+    Rows that repeat a doc_id are judged together.
+    """
+    parts = materialize(features(documents.where("doc_id is not null")), "passages")
+    model = fit(parts)
+
+    def run(batches):
+        for b in batches:
+            x = np.stack([b.column(f).to_numpy() for f in FEATURES], 1)
+            language, size = np.array(b.column("language").to_pylist(), dtype=object), b.column("n_words").to_numpy()
+            distance, cosine = judge(model, language, size, x)
+            spam = (distance > CUT) & (cosine >= ANGLE)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("language"), b.column("n_words"), pa.array(distance * size), pa.array(cosine * size), pa.array(np.where(spam, size, 0))], names=["doc_id", "language", "n_words", "distance", "cosine", "spam"])
+
+    judged = parts.mapInArrow(run, "doc_id long, language string, n_words long, distance double, cosine double, spam long")
+    whole = F.sum("n_words")
+    return judged.groupBy("doc_id").agg(F.min("language").alias("language"), whole.alias("n_words"), (F.sum("distance") / whole).alias("distance"), (F.sum("cosine") / whole).alias("cosine"), (F.sum("spam") / whole).alias("spam_share"))
 
 
 def spam_pages(documents: DataFrame) -> DataFrame:
-    """Outliers in the spam direction more than half of whose words are spam."""
-    return scores(documents).where("outlier and spam_share > 0.5")
+    """Documents more than half of whose words stand in outlying passages of the spam direction."""
+    return scores(documents).where(F.col("spam_share") > SPAM_SHARE)
