@@ -8,10 +8,12 @@ merged into the state partition by partition.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from setweave.functions.text import tokens
+from setweave.llm import words
 from setweave.session import discard, drop_path, materialize, table_path
 
 STATE = "term string, occurrences long, records long, bucket int"
@@ -41,14 +43,21 @@ def changes(before: DataFrame, after: DataFrame, deleted: DataFrame | None = Non
     return moved.select("id", F.explode(both).alias("x")).where("x.r is not null").select("id", "x.r.text", "x.sign")
 
 
+def _signed_terms(batches):
+    """Signed texts -> (term, occurrences, records), summed over many texts; the row of ALL counts the texts."""
+    for texts, signs in words.gathered(batches, ["text", "sign"]):
+        sign = np.array(signs, np.int64)
+        terms, text, term, tf, _ = words.counted(texts)
+        occurrences, records = (np.bincount(term, x, len(terms)).astype(np.int64) for x in (sign[text] * tf, sign[text]))
+        cols = [pa.concat_arrays([terms, pa.array([ALL])]), pa.array(np.append(occurrences, 0)), pa.array(np.append(records, sign.sum()))]
+        yield pa.RecordBatch.from_arrays(cols, names=["term", "occurrences", "records"])
+
+
 def term_deltas(signed: DataFrame, buckets: int) -> DataFrame:
     """Signed texts -> the state's columns, as changes. Unchanged sums fall away."""
-    words = signed.select("id", "sign", F.explode(tokens(F.col("text"))).alias("term"))
-    per = words.groupBy("id", "sign", "term").agg(F.count("*").alias("tf"))
-    terms = per.groupBy("term").agg(F.sum(F.col("sign") * F.col("tf")).alias("occurrences"), F.sum(F.col("sign").cast("long")).alias("records"))
-    every = signed.groupBy().agg(F.coalesce(F.sum(F.col("sign").cast("long")), F.lit(0).cast("long")).alias("records")).select(F.lit(ALL).alias("term"), F.lit(0).cast("long").alias("occurrences"), "records")
-    both = terms.unionByName(every).where("occurrences <> 0 or records <> 0")
-    return both.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
+    rows = signed.select("text", F.col("sign").cast("int").alias("sign")).mapInArrow(_signed_terms, "term string, occurrences long, records long")
+    sums = rows.groupBy("term").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records")).where("occurrences <> 0 or records <> 0")
+    return sums.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
 
 
 class TermCounts:

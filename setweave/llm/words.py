@@ -47,6 +47,35 @@ def hashed_lists(lists: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
     return np.fromiter(map(_hashes.__getitem__, chain.from_iterable(lists)), np.uint64, int(off[-1])), off
 
 
+def hash_of(terms: pa.Array) -> np.ndarray:
+    return np.fromiter(map(_hashes.__getitem__, terms.to_pylist()), np.uint64, len(terms))
+
+
+def counted(texts: list[str | None]) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(terms, then per distinct term of a text: number of the text, number of the term, occurrences; tokens of each text)."""
+    lists = [tokens(t) for t in texts]
+    length = np.fromiter(map(len, lists), np.int64, len(lists))
+    terms = pa.array(list(chain.from_iterable(lists)), pa.string()).dictionary_encode()
+    width = max(1, len(terms.dictionary))
+    both, tf = np.unique(np.repeat(np.arange(len(lists)), length) * width + terms.indices.to_numpy(), return_counts=True)
+    return terms.dictionary, both // width, both % width, tf, length
+
+
+def gathered(batches, columns: list[str], rows: int = 1 << 14, size: int = 1 << 26):
+    """Batches put together as lists of column values, up to about `rows` rows or `size` bytes at a time."""
+    held: list[list] = [[] for _ in columns]
+    bytes_held = 0
+    for b in batches:
+        for h, c in zip(held, columns):
+            h += b.column(c).to_pylist()
+        bytes_held += b.nbytes
+        if len(held[0]) >= rows or bytes_held >= size:
+            yield held
+            held, bytes_held = [[] for _ in columns], 0
+    if held[0]:
+        yield held
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(29))) * _MIX
     return x ^ (x >> np.uint64(32))
