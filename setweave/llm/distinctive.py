@@ -19,8 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from setweave.functions.text import tokens
-from setweave.llm import sketch
+from setweave.llm import words
+from setweave.llm.term_counts import ALL, _signed_terms
 from setweave.session import materialize
 
 HOT = 5000
@@ -33,56 +33,49 @@ def weight_of(tf, df, cf, length, n_records: int, average: float) -> np.ndarray:
 
 
 def collection_terms(records: DataFrame) -> DataFrame:
-    """records (record_id, text), one row each -> (term, df, cf). Records partitioned by record_id stay where they are."""
-    words = records.select("record_id", F.explode(tokens(F.col("text"))).alias("term"))
-    return words.groupBy("record_id", "term").agg(F.count("*").alias("tf")).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    """records (record_id, text), one row each -> (term, df, cf); the row of ALL has the number of records as df."""
+    r = records.select("text", F.lit(1).alias("sign")).mapInArrow(_signed_terms, "term string, cf long, df long")
+    return r.groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
 
 
 class _Frequent:
     """Looks up the frequent terms' counts by hash."""
 
-    def __init__(self, hashes, df, cf):
+    def __init__(self, terms: pa.Table):
+        hashes = words.hash_of(terms.column("term").combine_chunks())
         order = np.argsort(hashes)
-        self.hashes, self.df, self.cf = hashes[order], df[order], cf[order]
+        self.hashes, self.df, self.cf = hashes[order], *(terms.column(c).to_numpy()[order] for c in ("df", "cf"))
 
-    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(place, found)."""
-        at = np.minimum(np.searchsorted(self.hashes, hashes), max(0, len(self.hashes) - 1))
-        return at, (self.hashes[at] == hashes) if len(self.hashes) else np.zeros(len(hashes), bool)
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(found, df, cf), 0 and 1 where not found."""
+        if not len(self.hashes):
+            return np.zeros(len(hashes), bool), np.zeros(len(hashes), np.int64), np.ones(len(hashes), np.int64)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        found = self.hashes[at] == hashes
+        return found, np.where(found, self.df[at], 0), np.where(found, self.cf[at], 1)
 
 
 def _rows(shipped, n_records: int, average: float, best: Callable | None):
-    """Batches (origin, record_id, t, h) -> (origin, record_id, term, tf, length, df, weight), the last two null for rarer terms."""
+    """Batches (origin, record_id, text) -> (origin, record_id, term, tf, length, df, weight), the last two null for rarer terms."""
 
     def run(batches):
-        frequent = shipped.value
-        for b in batches:
-            flat, off = sketch.flat(b.column("h"))
-            if not len(flat):
+        for origin, record_id, texts in words.gathered(batches, ["origin", "record_id", "text"]):
+            terms, rec, term, tf, lengths = words.counted(texts)
+            if not len(rec):
                 continue
-            h, lengths = flat.view(np.int64), np.diff(off)
-            record = np.repeat(np.arange(b.num_rows), lengths)
-            order = np.lexsort((h, record))
-            new = np.ones(len(h), bool)
-            new[1:] = (h[order][1:] != h[order][:-1]) | (record[order][1:] != record[order][:-1])
-            starts = np.flatnonzero(new)
-            first, tf = order[starts], np.diff(np.append(starts, len(h)))
-            rec, length = record[first], lengths[record[first]]
-            at, found = frequent.find(h[first])
-            df = np.where(found, frequent.df[at] if len(frequent.df) else 1, 0)
-            cf = np.where(found, frequent.cf[at] if len(frequent.cf) else 1, 1)
+            found, df, cf = (x[term] for x in shipped.value.find(words.hash_of(terms)))
+            length = lengths[rec]
             weight = weight_of(tf, df, cf, length, n_records, average)
-            keep = np.ones(len(first), bool)
+            keep = np.ones(len(rec), bool)
             if best is not None:
                 # The most a rarer term can score is its score with a df of 1.
                 most = best(tf, np.where(found, df, 1), n_records)
-                top = np.full(b.num_rows, -np.inf)
+                top = np.full(len(texts), -np.inf)
                 np.maximum.at(top, rec[found], most[found])
                 keep = most >= top[rec] - 1e-8  # the logarithms of two libraries differ in the last digits
-            words = b.column("t").values.slice(b.column("t").offsets[0].as_py(), len(h)).take(pa.array(first[keep]))
-            cols = [b.column(c).take(pa.array(rec[keep])) for c in ("origin", "record_id")]
             none = ~found[keep]
-            cols += [words, pa.array(tf[keep].astype(np.int64)), pa.array(length[keep].astype(np.int64)), pa.array(df[keep].astype(np.int64), mask=none), pa.array(weight[keep], mask=none)]
+            cols = [pa.array(x, pa.string()).take(pa.array(rec[keep])) for x in (origin, record_id)] + [terms.take(pa.array(term[keep]))]
+            cols += [pa.array(tf[keep].astype(np.int64)), pa.array(length[keep].astype(np.int64)), pa.array(df[keep].astype(np.int64), mask=none), pa.array(weight[keep], mask=none)]
             yield pa.RecordBatch.from_arrays(cols, names=["origin", "record_id", "term", "tf", "length", "df", "weight"])
 
     return run
@@ -96,26 +89,21 @@ def weigh(collection: DataFrame, others: DataFrame | None = None, best: Callable
     may be missing, so that rows of frequent terms needn't leave the task that reads them.
     """
     spark = collection.sparkSession
-    terms = materialize(collection_terms(collection), "terms")
-    n = collection.count()
-    total = terms.agg(F.coalesce(F.sum("cf"), F.lit(0)).alias("cf")).first().cf
-    average = total / max(n, 1)
-    hot = terms.where(F.col("df") * HOT >= n)
+    counted = materialize(collection_terms(collection), "terms")
+    whole = counted.agg(F.max(F.when(F.col("term") == ALL, F.col("df"))).alias("n"), F.sum("cf").alias("cf")).first()
+    n, terms = whole.n or 0, counted.where(F.col("term") != ALL)
+    average = (whole.cf or 0) / max(n, 1)
     # At most HOT times the mean number of distinct terms of a record.
-    t = hot.select(F.xxhash64("term").alias("h"), "df", "cf").toArrow()
-    frequent = spark.sparkContext.broadcast(_Frequent(*(t.column(c).to_numpy() for c in ("h", "df", "cf"))))
+    frequent = spark.sparkContext.broadcast(_Frequent(terms.where(F.col("df") * HOT >= n).toArrow()))
     schema = "origin string, record_id string, term string, tf long, length long, df long, weight double"
-    parts = []
-    for records in [collection] if others is None else [collection, others]:
-        r = records.select("origin", "record_id", tokens(F.col("text")).alias("t")).withColumn("h", F.transform("t", lambda x: F.xxhash64(x)))
-        parts.append(r.mapInArrow(_rows(frequent, max(n, 1), average, best), schema))
+    parts = [r.select("origin", "record_id", "text").mapInArrow(_rows(frequent, max(n, 1), average, best), schema) for r in ([collection] if others is None else [collection, others])]
     rows = reduce(DataFrame.unionByName, parts)
     if best is not None:
         rows = materialize(rows, "best")
     near = rows.where("df is not null").select("origin", "record_id", "term", "tf", "df", "weight")
     tfn = F.col("tf") * F.log2(1 + F.lit(average) / F.col("length"))
     mean = F.col("cf") / F.lit(n)
-    far = rows.where("df is null").drop("df", "weight").join(terms.where(F.col("df") * HOT < n), "term").withColumn("_f", tfn).withColumn("_l", mean)
+    far = rows.where("df is null").drop("df", "weight").join(terms.where(F.col("df") * HOT < n).hint("merge"), "term").withColumn("_f", tfn).withColumn("_l", mean)
     weight = (F.log2(1 + F.col("_l")) + F.col("_f") * F.log2((1 + F.col("_l")) / F.col("_l"))) / (F.col("_f") + 1)
     both = near.unionByName(far.select("origin", "record_id", "term", "tf", "df", weight.alias("weight")))
     return both.withColumn("n_records", F.lit(n))
