@@ -121,10 +121,14 @@ def mix(sized: DataFrame, targets: DataFrame, schedule: Mapping[str, Sequence[tu
 
 
 def shares(mixed: DataFrame, sized: DataFrame, targets: DataFrame) -> DataFrame:
-    """Per source: (source, target_share, actual_share of the mix, tokens, uses, repeats used, capped)."""
-    p = materialize(plan(sized, targets), "plan")
+    """Per source: (source, target_share, actual_share of the mix, tokens, uses, repeats used, capped).
+
+    A source is capped if the mix uses all it has as often as it may, and that is less than its share of all tokens.
+    """
+    p = materialize(plan(sized, targets).drop("capped"), "plan")
     got = mixed.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("uses"), (F.max("pass") + 1).alias("repeats"))
     zero = {"tokens": 0, "uses": 0, "repeats": 0}
     j = p.join(F.broadcast(got), "source", "left").fillna(zero)
     whole = j.agg(F.sum("tokens").alias("whole"))
-    return j.join(F.broadcast(whole)).select("source", "target_share", (F.col("tokens") / F.col("whole")).alias("actual_share"), "tokens", "uses", "repeats", "capped")
+    capped = (F.col("tokens") >= F.col("max_repeats") * F.col("size")) & (F.col("tokens") < F.col("target_share") * F.col("total"))
+    return j.join(F.broadcast(whole)).select("source", "target_share", (F.col("tokens") / F.col("whole")).alias("actual_share"), "tokens", "uses", "repeats", capped.alias("capped"))
