@@ -17,13 +17,14 @@ def skew_join(rows: DataFrame, per_key: DataFrame, key: str, counts: DataFrame,
     """rows join per_key (one row a key) on `key`, where a few keys may hold most rows.
 
     Keys with at least `share` of the rows, at most 1/share, are joined by broadcast where they lie; only the
-    rest, of which none is large, is shuffled. counts: (key, n) over rows. Null keys never join (left: kept).
+    rest is shuffled, by a sort-merge join, whose partitions AQE splits where one is still large. counts: (key, n)
+    over rows. Null keys never join (left: kept).
     """
     hot = heavy_keys(counts.where(F.col(key).isNotNull()), key, share=share).select(key, F.lit(True).alias("_hot"))
     hot_side = per_key.join(F.broadcast(hot), key)
     keyed = rows.join(F.broadcast(hot), key, "left")
     a = keyed.where("_hot").drop("_hot").join(F.broadcast(hot_side.drop("_hot")), key, how)
-    b = keyed.where("_hot is null").drop("_hot").join(per_key.join(F.broadcast(hot), key, "left_anti"), key, how)
+    b = keyed.where("_hot is null").drop("_hot").join(per_key.join(F.broadcast(hot), key, "left_anti").hint("merge"), key, how)
     return a.unionByName(b)
 
 
