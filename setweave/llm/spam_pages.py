@@ -40,10 +40,10 @@ FEATURES = ["density", "entropy", "repetition", "function", "code"]
 #: Where spam lies from the centre of ordinary passages, by feature.
 DIRECTION = np.array([1.0, -1.0, 1.0, -1.0, -1.0])
 FLOOR = np.full(len(FEATURES), 0.05)
-CUT = 15.09  # chi-square with 5 degrees of freedom, 99 %
+CUT = 11.07  # chi-square with 5 degrees of freedom, 95 %
 ANGLE = 0.3
 BULK = 3.5
-PASSAGE, SHRINK, REPEATS = 24, 4, 3
+PASSAGE, SHRINK, REPEATS = 24, 8, 3
 SPAM_SHARE = 0.5
 _LANGUAGES = list(FUNCTION_WORDS)
 _SETS = [frozenset(v.split()) for v in FUNCTION_WORDS.values()]
