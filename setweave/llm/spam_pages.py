@@ -11,8 +11,8 @@ CUT; it lies in the spam direction if its deviation, in the metric of the scatte
 whose cosine is ANGLE or more. A page more than half of whose words stand in such passages is spam.
 
 The language of a page is the one whose function words are most frequent in it, the script deciding for Chinese;
-the lists are the closed word classes of each language. Null and blank texts have no passage and are no spam; short
-passages count for less, by n / (n + SHRINK). Repeated rows are judged each.
+the lists are the closed word classes of each language. Null and blank texts have no passage and are no spam; the
+deviation of a passage of n words, fewer than PASSAGE, counts by n / PASSAGE. Repeated rows are judged each.
 """
 
 from __future__ import annotations
@@ -43,7 +43,7 @@ FLOOR = np.full(len(FEATURES), 0.05)
 CUT = 11.07  # chi-square with 5 degrees of freedom, 95 %
 ANGLE = 0.3
 BULK = 3.5
-PASSAGE, SHRINK, REPEATS = 24, 8, 3
+PASSAGE, REPEATS = 24, 3
 SPAM_SHARE = 0.5
 _LANGUAGES = list(FUNCTION_WORDS)
 _SETS = [frozenset(v.split()) for v in FUNCTION_WORDS.values()]
@@ -175,7 +175,7 @@ def judge(model: dict, language: np.ndarray, size: np.ndarray, x: np.ndarray) ->
     distance, cosine = np.zeros(len(x)), np.zeros(len(x))
     for k, (med, scale, inverse) in model.items():
         own = language == k
-        z = (x[own] - med) / scale * (size[own] / (size[own] + SHRINK))[:, None]
+        z = (x[own] - med) / scale * np.minimum(1.0, size[own] / PASSAGE)[:, None]
         d2 = np.einsum("ij,jk,ik->i", z, inverse, z)
         distance[own] = d2
         cosine[own] = z @ inverse @ DIRECTION / np.sqrt(np.maximum(d2, 1e-12) * (DIRECTION @ inverse @ DIRECTION))
