@@ -97,28 +97,37 @@ def ir_query_terms(spark, d):
 @query(f"with {_AND} select query, doc from f")
 def ir_conjunctive_docs(spark, d):
     p, v = _index(spark, d)
-    return retrieval.conjunctive(_terms(spark, d, v), p)
+    return retrieval.conjunctive(materialize(_terms(spark, d, v), "terms"), p)
 
 
 @query(f"with {_AND} select query, count(doc)::bigint as hits from qs left join f using (query) group by 1")
 def ir_conjunctive_counts(spark, d):
     p, v = _index(spark, d)
-    return retrieval.hit_counts(_docs(spark, d, "queries", "query"), retrieval.conjunctive(_terms(spark, d, v), p))
+    return retrieval.hit_counts(_docs(spark, d, "queries", "query"), retrieval.conjunctive(materialize(_terms(spark, d, v), "terms"), p))
 
 
 @query(f"with {_AND} select query, count(doc)::bigint as hits from qs left join f using (query) group by 1")
 def ir_partitioned(spark, d):
-    """Hits counted per partition of the documents, then added."""
+    """Hits of partitions of the documents evaluated one by one, then added."""
     p, v = _index(spark, d)
-    part = F.pmod(F.xxhash64("doc"), F.lit(4)).alias("part")
-    partial = retrieval.conjunctive(_terms(spark, d, v), p).groupBy("query", part).agg(F.count("*").alias("c"))
-    whole = partial.groupBy("query").agg(F.sum("c").alias("hits"))
+    partial = retrieval.conjunctive_partitioned(materialize(_terms(spark, d, v), "terms"), p, 4)
+    whole = partial.groupBy("query").agg(F.sum("hits").alias("hits"))
     return _docs(spark, d, "queries", "query").select("query").join(whole, "query", "left").fillna(0, ["hits"])
 
 
+@query(f"with {_AND}, c as (select query, count(doc) as hits from qs left join f using (query) group by 1) select count(*)::bigint as queries, sum(hits)::bigint as hits from c")
+def ir_total(spark, d):
+    return retrieval.hit_total(ir_conjunctive_counts(spark, d))
+
+
+@query(f"with {_IDX} select count(distinct term)::bigint as terms, count(*)::bigint as postings from p")
+def ir_vocab_size(spark, d):
+    return retrieval.vocabulary_size(_docs(spark, d))
+
+
 @query(f"with {_AND} select f.query, f.doc, max(coalesce(relevance, 0)) as relevance from f join qrels on query_id = f.query and doc_id = f.doc group by 1, 2")
 def ir_judged_hits(spark, d):
     """Found documents that were judged."""
     p, v = _index(spark, d)
     q = tune(spark).read.parquet(f"{d}/qrels.parquet").groupBy(F.col("query_id").alias("query"), F.col("doc_id").alias("doc")).agg(F.max(F.coalesce("relevance", F.lit(0))).alias("relevance"))
-    return retrieval.conjunctive(_terms(spark, d, v), p).join(q, ["query", "doc"])
+    return retrieval.conjunctive(materialize(_terms(spark, d, v), "terms"), p).join(q, ["query", "doc"])

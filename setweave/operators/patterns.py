@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from setweave.operators.graph import degree_oriented, degrees, symmetric
+from setweave.operators.graph import degree_oriented, degrees, symmetric, vertex_rank
 from setweave.session import materialize
 
 
@@ -55,9 +55,15 @@ def triangles_per_node(edges: DataFrame) -> DataFrame:
 
 
 def triangles_partitioned(edges: DataFrame, parts: int) -> DataFrame:
-    """Triangles by partition of their closing node, node mod parts: partial counts that add up to the whole."""
-    t = clique_rows(edges, 3)
-    return t.groupBy(F.pmod("v2", F.lit(parts)).alias("part")).agg(F.count("*").alias("n"))
+    """Triangles by partition of their closing node, node mod parts: (part, n), each from the partition's lists alone.
+
+    A partition holds of every out-neighbour list the nodes that fall to it; partial counts add up to the whole.
+    """
+    o = materialize(degree_oriented(edges), "oriented")
+    lists = o.groupBy(F.col("src").alias("node"), F.pmod("dst", F.lit(parts)).alias("part")).agg(F.collect_list("dst").alias("nbrs"))
+    x, y = lists.toDF("src", "part", "x"), lists.toDF("dst", "part", "y")
+    n = F.size(F.array_intersect("x", "y")).cast("long")
+    return o.join(x, "src").join(y, ["dst", "part"]).groupBy("part").agg(F.sum(n).alias("n"))
 
 
 def similar_edges(edges: DataFrame, threshold: float) -> DataFrame:
@@ -69,28 +75,33 @@ def similar_edges(edges: DataFrame, threshold: float) -> DataFrame:
 
 
 def similar_edges_partitioned(edges: DataFrame, threshold: float, parts: int) -> DataFrame:
-    """The same from partial counts per partition of the shared neighbour."""
-    n = symmetric(edges)
-    wedge = edges.join(n.toDF("src", "w"), "src").join(n.toDF("dst", "w2"), "dst").where("w = w2")
-    partial = wedge.groupBy("src", "dst", F.pmod("w", F.lit(parts)).alias("part")).agg(F.count("*").alias("c"))
+    """The same from partial counts per partition of the shared neighbour, found by oriented triangles."""
+    t = clique_rows(edges, 3)
+    sides = (("v0", "v1", "v2"), ("v0", "v2", "v1"), ("v1", "v2", "v0"))
+    e = F.explode(F.array(*(F.struct(F.least(a, b).alias("src"), F.greatest(a, b).alias("dst"), F.pmod(c, F.lit(parts)).alias("part")) for a, b, c in sides))).alias("e")
+    partial = t.select(e).groupBy("e.src", "e.dst", "e.part").agg(F.count("*").alias("c"))
     d = degrees(edges)
     s = partial.groupBy("src", "dst").agg(F.sum("c").alias("shared")).join(d.toDF("src", "ds"), "src").join(d.toDF("dst", "dd"), "dst")
     s = s.select("src", "dst", "shared", (F.col("ds") + F.col("dd") - F.col("shared")).alias("union_size"))
     return s.where(F.col("shared") / F.col("union_size") >= threshold)
 
 
-def bitmap_words(edges: DataFrame) -> DataFrame:
-    """Sparse bitmaps of neighbourhoods: (node, word, bits)."""
-    s = symmetric(edges)
-    bit = F.expr("shiftleft(1L, cast(dst & 63 as int))")
-    return s.groupBy(F.col("src").alias("node"), F.shiftrightunsigned("dst", 6).alias("word")).agg(F.bit_or(bit).alias("bits"))
+def bitmap_words(edges: DataFrame, ranks: DataFrame) -> DataFrame:
+    """Sparse bitmaps of neighbourhoods: (node, word, bits), one bit a neighbour's rank; frequent neighbours share words."""
+    s = symmetric(edges).join(ranks.select(F.col("node").alias("dst"), "rank"), "dst")
+    bit = F.expr("shiftleft(1L, cast(rank & 63 as int))")
+    return s.groupBy(F.col("src").alias("node"), F.shiftrightunsigned("rank", 6).alias("word")).agg(F.bit_or(bit).alias("bits"))
 
 
 def support_by_bitmap(edges: DataFrame) -> DataFrame:
-    """The same as support, from intersected bitmap words."""
-    w = bitmap_words(edges)
-    j = edges.join(w.toDF("src", "word", "x"), "src").join(w.toDF("dst", "word", "y"), ["dst", "word"])
-    s = j.groupBy("src", "dst").agg(F.sum(F.bit_count(F.col("x").bitwiseAND(F.col("y"))).cast("long")).alias("shared"))
+    """The same as support, from intersected bitmap words; the end with fewer words probes the other."""
+    w = materialize(bitmap_words(edges, materialize(vertex_rank(edges), "ranks")), "bitmap")
+    n = w.groupBy("node").agg(F.count("*").alias("n"))
+    e = edges.join(n.toDF("src", "ns"), "src").join(n.toDF("dst", "nd"), "dst")
+    turn = F.col("ns") > F.col("nd")
+    e = e.select(F.when(turn, F.col("dst")).otherwise(F.col("src")).alias("p"), F.when(turn, F.col("src")).otherwise(F.col("dst")).alias("q"))
+    j = e.join(w.toDF("p", "word", "x"), "p").join(w.toDF("q", "word", "y"), ["q", "word"])
+    s = j.groupBy(F.least("p", "q").alias("src"), F.greatest("p", "q").alias("dst")).agg(F.sum(F.bit_count(F.col("x").bitwiseAND(F.col("y"))).cast("long")).alias("shared"))
     return s.where("shared > 0")
 
 
@@ -103,10 +114,17 @@ def _total(df: DataFrame, value) -> DataFrame:
 
 
 def four_cycles(edges: DataFrame) -> DataFrame:
-    """Q1: half the sum over node pairs of C(common neighbours, 2)."""
-    n = symmetric(edges)
-    pairs = n.toDF("w", "p").join(n.toDF("w", "q"), "w").where("p < q").groupBy("p", "q").agg(F.count("*").alias("c"))
-    return pairs.agg(F.expr("coalesce(sum(c * (c - 1) div 2), 0) div 2").cast("long").alias("n"))
+    """Q1: per cycle one node is the highest by (degree, id); wedges from it over a lower node to a lower one, C(wedges, 2) a pair of ends.
+
+    A middle node meets its higher neighbours only, at most sqrt(2 m) of them, so hubs make no square of wedges.
+    """
+    o = materialize(degree_oriented(edges), "oriented")
+    d = degrees(edges)
+    up = o.join(d.toDF("dst", "dt"), "dst").select(F.col("src").alias("mid"), F.col("dst").alias("top"), "dt")
+    n = symmetric(edges).join(d.toDF("dst", "de"), "dst").select(F.col("src").alias("mid"), F.col("dst").alias("end"), "de")
+    lower = (F.col("de") < F.col("dt")) | ((F.col("de") == F.col("dt")) & (F.col("end") < F.col("top")))
+    pairs = up.join(n, "mid").where(lower).groupBy("top", "end").agg(F.count("*").alias("c"))
+    return _total(pairs, _choose2("c"))
 
 
 def diamonds(edges: DataFrame) -> DataFrame:

@@ -52,13 +52,46 @@ def query_terms(queries: DataFrame, vocab: DataFrame) -> DataFrame:
 
 
 def conjunctive(terms: DataFrame, p: DataFrame) -> DataFrame:
-    """(query, doc) of documents holding every known term of a query."""
+    """(query, doc) of documents holding every known term of a query.
+
+    Rarest first: the postings of a query's rarest term are its candidates, those of the next rarest thin them, and
+    what is left is looked up in all others at once. Long lists are probed by (term, doc), never listed.
+    """
+    known = p.join(terms.select("term").distinct().hint("merge"), "term", "left_semi")
+    c = terms.where("pos = 0").select("query", "term").join(known, "term").select("query", "doc")
+    second = terms.where("pos = 1").select("query", F.col("term"))
+    rest = terms.where("pos > 1").select("query", "term")
     n = terms.groupBy("query").agg(F.count("*").alias("n"))
-    hits = terms.select("query", "term").join(p, "term").groupBy("query", "doc").agg(F.count("*").alias("c"))
-    return hits.join(n, "query").where("c = n").select("query", "doc")
+    c = c.join(n, "query")
+    one = c.where("n = 1").select("query", "doc")
+    two = c.where("n > 1").join(second, "query").join(known.hint("merge"), ["term", "doc"]).select("query", "doc", "n")
+    more = two.where("n > 2").join(rest, "query").join(known.hint("merge"), ["term", "doc"]).groupBy("query", "doc", "n").agg(F.count("*").alias("c"))
+    return one.unionByName(two.where("n = 2").select("query", "doc")).unionByName(more.where("c = n - 2").select("query", "doc"))
+
+
+def conjunctive_partitioned(terms: DataFrame, p: DataFrame, parts: int) -> DataFrame:
+    """(query, part, hits): every partition of the documents is evaluated by itself; hits add up over partitions."""
+    out = None
+    for k in range(parts):
+        own = conjunctive(terms, p.where(F.pmod(F.xxhash64("doc"), F.lit(parts)) == k))
+        counts = own.groupBy("query").agg(F.count("*").alias("hits")).select("query", F.lit(k).alias("part"), "hits")
+        out = counts if out is None else out.unionByName(counts)
+    return out
 
 
 def hit_counts(queries: DataFrame, found: DataFrame) -> DataFrame:
     """(query, hits), 0 for queries without a known term or a hit."""
     c = found.groupBy("query").agg(F.count("*").alias("hits"))
     return queries.select("query").distinct().join(c, "query", "left").select("query", F.coalesce("hits", F.lit(0)).cast("long").alias("hits"))
+
+
+def hit_total(counts: DataFrame) -> DataFrame:
+    """One row: queries and hits over all of them."""
+    return counts.agg(F.count("*").alias("queries"), F.coalesce(F.sum("hits"), F.lit(0)).cast("long").alias("hits"))
+
+
+def vocabulary_size(docs: DataFrame) -> DataFrame:
+    """One row: documents, distinct terms and postings (approximation-free)."""
+    p = postings(docs)
+    per = p.groupBy("term").agg(F.count("*").alias("n"))
+    return per.agg(F.count("*").alias("terms"), F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("postings"))
