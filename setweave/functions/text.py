@@ -31,3 +31,28 @@ def hash_set(hashes: Column) -> Column:
 def sql_tokens(text: str) -> str:
     """The same tokens as a DuckDB expression."""
     return f"[x for x in regexp_split_to_array(lower(regexp_replace(coalesce({text}, ''), '{DROPPED}', '', 'g')), '{BLANK}') if x <> '']"
+
+
+def graph_name(name: Column) -> Column:
+    """A file name without what follows its first point, and without a trailing _adj and what follows that."""
+    return F.substring_index(F.substring_index(name, ".", 1), "_adj", 1)
+
+
+def slug(name: Column) -> Column:
+    """Lower-case letters and digits of ASCII, anything else one underscore, none at the ends."""
+    return F.lower(F.regexp_replace(F.regexp_replace(name, "[^A-Za-z0-9]+", "_"), "^_+|_+$", ""))
+
+
+def plain_number(text: Column) -> Column:
+    """A number written with thousands separators; null where it is none."""
+    return F.replace(text, F.lit(","), F.lit("")).try_cast("double")
+
+
+def ceil_to(value: Column, digits: int = 2) -> Column:
+    """Rounded up to so many decimals."""
+    return F.ceil(value * 10**digits) / F.lit(10**digits)
+
+
+def json_field(text: Column, path: str, default: str) -> Column:
+    """A field of a JSON text by its path, the default where the text or the field is missing or broken."""
+    return F.coalesce(F.get_json_object(text, path), F.lit(default))

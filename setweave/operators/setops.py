@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from setweave.operators.graph import table_length
+
 
 def pair_counts(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """pairs (a, b) -> sizes, shared, united and the members of a alone; sets without members count as empty."""
@@ -25,3 +27,27 @@ def random_sets(spark, sets: int, size: int, top: int, seed: int = 1) -> DataFra
     """(set_id, elem): uniform elements in 0..top."""
     r = spark.range(sets * size).withColumn("elem", F.floor(F.rand(seed) * (top + 1)).cast("long"))
     return r.select(F.floor(F.col("id") / size).cast("long").alias("set_id"), "elem")
+
+
+def insert(members: DataFrame, new: DataFrame) -> DataFrame:
+    """(set_id, elem) of both, each once; null sets and elements are none."""
+    both = members.select("set_id", "elem").unionByName(new.select("set_id", "elem"))
+    return both.where("set_id is not null and elem is not null").distinct()
+
+
+def remove(members: DataFrame, gone: DataFrame) -> DataFrame:
+    """(set_id, elem) of members without those in gone."""
+    return insert(members, members.limit(0)).join(gone.select("set_id", "elem"), ["set_id", "elem"], "left_anti")
+
+
+def contains(members: DataFrame, asked: DataFrame) -> DataFrame:
+    """(set_id, elem, found) of every row asked for, repeats kept."""
+    m = insert(members, members.limit(0)).withColumn("_in", F.lit(True))
+    return asked.select("set_id", "elem").join(m, ["set_id", "elem"], "left").select("set_id", "elem", F.coalesce("_in", F.lit(False)).alias("found"))
+
+
+def fill(members: DataFrame, load: float, bucket: int) -> DataFrame:
+    """(set_id, size, capacity, load_factor) of the bucketed tables that would hold the sets."""
+    n = insert(members, members.limit(0)).groupBy("set_id").agg(F.count("*").alias("size"))
+    capacity = (table_length(F.col("size"), load, bucket) * bucket).alias("capacity")
+    return n.select("set_id", "size", capacity, (F.col("size") / capacity).alias("load_factor"))

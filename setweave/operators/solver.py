@@ -12,6 +12,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from setweave.session import drop_path, versions
+
 #: The grid and the constants of the cost model.
 ALPHAS = [round(0.1 + 0.05 * i, 2) for i in range(19)]
 BUCKETS = list(range(1, 10))
@@ -65,21 +67,41 @@ def cost(size: int, alpha: float, b: int, w: int, s_trans: int, s_slot: int, law
     return steps * (math.ceil(w * s_slot / (mean * s_trans)) + 1)
 
 
-def grid(spark: SparkSession) -> DataFrame:
-    """(alpha, b) of every grid point."""
-    a = spark.sql("select explode(sequence(0, 18)) as i").select(F.round(F.lit(0.1) + F.col("i") * 0.05, 2).alias("alpha"))
-    return a.crossJoin(spark.sql("select explode(sequence(1, 9)) as b"))  # 19 x 9 constants
+def penalty(alpha: float, center: float = 0.2, width: float = 0.12, scale: float = 1.0) -> float:
+    """Squared distance of a load factor from the centre on a logarithmic scale; off unless asked for."""
+    return FULL if alpha <= 0 else scale * (math.log(alpha / center) / math.log(1 + width / center)) ** 2
+
+
+def grid(spark: SparkSession, level: int = 0) -> DataFrame:
+    """(alpha, b) of every grid point; level 1 and 2 are the smaller grids for quick runs."""
+    low, high, most = [(0.1, 1.0, 9), (0.2, 0.8, 10), (0.35, 0.4, 4)][min(level, 2)]
+    n = round((high - low) / 0.05)
+    a = spark.sql(f"select explode(sequence(0, {n})) as i").select(F.round(F.lit(low) + F.col("i") * 0.05, 2).alias("alpha"))
+    return a.crossJoin(spark.sql(f"select explode(sequence(1, {most})) as b"))  # constants, 190 points at most
+
+
+def load_laws(spark: SparkSession, size: int | None = None, keys: int = 12) -> DataFrame:
+    """(alpha, b, k, p): chance that k keys hash to a bucket, k up to `keys`; for many keys (no size) the Poisson law."""
+
+    def run(batches):
+        for p in batches:
+            laws = [load_law(size, a * b) if size else poisson_law(a * b) for a, b in zip(p.alpha, p.b)]
+            out = p.loc[p.index.repeat(keys + 1)].reset_index(drop=True)
+            out["k"], out["p"] = np.tile(np.arange(keys + 1, dtype=np.int32), len(p)), np.concatenate([x[: keys + 1] for x in laws])
+            yield out
+
+    return grid(spark).mapInPandas(run, "alpha double, b int, k int, p double")
 
 
-def solve(spark: SparkSession, problems: DataFrame) -> DataFrame:
+def solve(spark: SparkSession, problems: DataFrame, level: int = 0, with_penalty: bool = False) -> DataFrame:
     """problems (size, w, s_trans, s_slot) -> one row a grid point with its cost."""
 
     def run(batches):
         for p in batches:
-            p["cost"] = [cost(int(r.size_), float(r.alpha), int(r.b), int(r.w), int(r.s_trans), int(r.s_slot)) for r in p.rename(columns={"size": "size_"}).itertuples()]
+            p["cost"] = [cost(int(r.size_), float(r.alpha), int(r.b), int(r.w), int(r.s_trans), int(r.s_slot)) + (penalty(float(r.alpha)) if with_penalty else 0.0) for r in p.rename(columns={"size": "size_"}).itertuples()]
             yield p
 
-    g = problems.select("size", "w", "s_trans", "s_slot").distinct().join(F.broadcast(grid(spark)))
+    g = problems.select("size", "w", "s_trans", "s_slot").distinct().join(F.broadcast(grid(spark, level)))
     return g.repartition(F.col("alpha")).mapInPandas(run, "size long, w int, s_trans int, s_slot int, alpha double, b int, cost double")
 
 
@@ -88,14 +110,56 @@ def best(costs: DataFrame) -> DataFrame:
     return costs.groupBy("size", "w", "s_trans", "s_slot").agg(F.min(F.struct("cost", "alpha", "b")).alias("m")).select("size", "w", "s_trans", "s_slot", "m.alpha", "m.b", "m.cost")
 
 
-def lookup(cache: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Cached answers, (0, 0, inf) where the cache has none."""
-    j = wanted.join(cache, ["size", "w", "s_trans", "s_slot"], "left")
-    return j.select("size", "w", "s_trans", "s_slot", F.coalesce("alpha", F.lit(0.0)).alias("alpha"), F.coalesce("b", F.lit(0)).alias("b"), F.coalesce("cost", F.lit(float("inf"))).alias("cost"))
+KEYS = ["mode", "size", "w", "s_trans", "s_slot"]
+
+
+class Recommendations:
+    """Best grid points by (mode, size, w, s_trans, s_slot), kept under a path; a put writes the next version."""
+
+    SCHEMA = "mode string, size long, w int, s_trans int, s_slot int, alpha double, b int, cost double"
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+        self.version = max([0, *versions(spark, path)])
+
+    def table(self) -> DataFrame:
+        read = self.spark.read.schema(self.SCHEMA)
+        return read.parquet(f"{self.path}/{self.version}") if self.version else self.spark.createDataFrame([], self.SCHEMA)
+
+    def put(self, rows: DataFrame) -> Recommendations:
+        """Add recommendations; those of the same key are replaced."""
+        new = rows.select(*KEYS, "alpha", "b", "cost")
+        kept = self.table().join(new.select(*KEYS), KEYS, "left_anti")
+        kept.unionByName(new).write.mode("overwrite").parquet(f"{self.path}/{self.version + 1}")
+        self.version += 1
+        return self
+
+    def missing(self, wanted: DataFrame) -> DataFrame:
+        """Keys still to solve."""
+        return wanted.select(*KEYS).distinct().join(self.table(), KEYS, "left_anti")
+
+    def get(self, wanted: DataFrame) -> DataFrame:
+        """Known answers to every key, (0, 0, inf) where there is none."""
+        j = wanted.select(*KEYS).distinct().join(self.table(), KEYS, "left")
+        return j.select(*KEYS, F.coalesce("alpha", F.lit(0.0)).alias("alpha"), F.coalesce("b", F.lit(0)).alias("b"), F.coalesce("cost", F.lit(float("inf"))).alias("cost"))
 
+    def solve(self, wanted: DataFrame) -> DataFrame:
+        """Answers to every key; those not known are solved and kept. The mode does not change a solution."""
+        todo = self.missing(wanted)
+        if not todo.isEmpty():
+            self.put(todo.join(best(solve(self.spark, todo)), ["size", "w", "s_trans", "s_slot"]))
+        return self.get(wanted)
 
-def missing(cache: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Problems still to solve."""
-    return wanted.join(cache, ["size", "w", "s_trans", "s_slot"], "left_anti")
+    def precompute(self, sizes: list[int], ws: list[int], trans: list[int], slots: list[int], modes: list[str]) -> DataFrame:
+        """Solve all combinations of the lists."""
+        one = [(m, n, w, t, s) for m in modes for n in sizes for w in ws for t in trans for s in slots]
+        return self.solve(self.spark.createDataFrame(one, "mode string, size long, w int, s_trans int, s_slot int"))
 
+    def clear(self) -> None:
+        for v in versions(self.spark, self.path):
+            drop_path(self.spark, f"{self.path}/{v}")
+        self.version = 0
 
+    def stats(self) -> DataFrame:
+        """Entries by mode."""
+        return self.table().groupBy("mode").agg(F.count("*").alias("entries"), F.min("cost").alias("least_cost"))

@@ -1 +1 @@
-"""Plan building lives with the operators: every operator is a declarative plan."""
+"""Whole preparations of a data set."""

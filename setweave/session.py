@@ -88,3 +88,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 def discard(df: DataFrame) -> None:
     """Remove a table that materialize wrote and nothing reads any more."""
     drop_path(df.sparkSession, df._setweave_path)
+
+
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the complete versions of a table under path."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [x.getPath() for x in fs.listStatus(p)] if fs.exists(p) else []
+    done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return [int(n.getName()) for n in names if n.getName().isdigit() and fs.exists(done(n, "_SUCCESS"))]

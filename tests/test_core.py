@@ -8,8 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from setweave.catalog import QUERIES, SQL
-from setweave.functions.text import tokens
-from setweave.operators import graph, heavy, order, patterns, retrieval, setops, skew, solver, tree
+from setweave.functions import bits
+from setweave.functions.text import graph_name, slug, tokens
+from setweave.operators import diagnostics, graph, heavy, matching, order, patterns, results, retrieval, setops, skew, solver, tree
 from setweave.operators.components import connected_components
 
 EDGES = "a long, b long"
@@ -136,7 +137,11 @@ def test_retrieval(spark):
     p = retrieval.postings(docs)
     v = retrieval.vocabulary(p)
     q = spark.createDataFrame([(1, "b c"), (2, "zzz"), (3, "a zzz"), (4, None)], "query int, text string")
-    found = retrieval.conjunctive(retrieval.query_terms(q, v), p)
+    terms = retrieval.query_terms(q, v)
+    found = retrieval.conjunctive(terms, p)
+    long = spark.createDataFrame([(7, "c b a"), (8, "A b")], "query int, text string")
+    assert sorted(map(tuple, retrieval.conjunctive(retrieval.query_terms(long, v), p).collect())) == [(7, 0), (8, 0), (8, 1)]
+    assert retrieval.conjunctive_partitioned(terms, p, 3).agg(F.sum("hits")).first()[0] == 4
     assert sorted(map(tuple, found.collect())) == [(1, 0), (1, 2), (3, 0), (3, 1)]
     assert sorted(map(tuple, retrieval.hit_counts(q, found).collect())) == [(1, 2), (2, 0), (3, 2), (4, 0)]
     assert {r.term for r in retrieval.drop_most_frequent(v, 1).collect()} == {"a", "c"}
@@ -155,12 +160,109 @@ def test_solver_golden(problem, want):
     assert best[1:] == want[1:] and best[0] == pytest.approx(want[0], rel=1e-12)
 
 
-def test_solver_cache(spark):
-    cols = "size long, w int, s_trans int, s_slot int"
-    wanted = spark.createDataFrame([(50, 32, 32, 4), (60, 32, 32, 4)], cols)
-    cache = solver.best(solver.solve(spark, wanted.limit(1)))
-    assert solver.missing(cache, wanted).count() == 1
-    assert sorted(r.alpha > 0 for r in solver.lookup(cache, wanted).collect()) == [False, True]
+def test_solver_cache(spark, tmp_path):
+    cols = "mode string, size long, w int, s_trans int, s_slot int"
+    wanted = spark.createDataFrame([("sss", 50, 32, 32, 4), ("tc", 50, 32, 32, 4), ("ir", 60, 32, 32, 4)], cols)
+    path = "file://" + str(tmp_path / "cache")
+    c = solver.Recommendations(spark, path)
+    assert c.get(wanted).where("alpha = 0 and cost = double('inf')").count() == 3
+    assert c.solve(wanted.limit(2)).where("alpha > 0").count() == 2 and c.version == 1
+    again = solver.Recommendations(spark, path)
+    assert again.missing(wanted).count() == 1 and again.stats().agg(F.sum("entries")).first()[0] == 2
+    assert again.precompute([50], [32], [32], [4], ["sss", "tc"]).count() == 2 and again.version == 1  # nothing to do
+    again.clear()
+    assert solver.Recommendations(spark, path).table().count() == 0
+    assert solver.penalty(0.2) == 0 and solver.penalty(0) == solver.FULL and solver.grid(spark, 2).count() == 8
+
+
+def test_result_store(spark, tmp_path):
+    path = "file://" + str(tmp_path / "store")
+    rows = lambda *x: spark.createDataFrame(list(x), "alpha double, b int, table_type string, cost double")
+    s = results.ResultStore(spark, path, ["cost", "kernel_time"])
+    s.put(rows((0.1, 1, None, 5.0), (0.1, 2, "N", 4.0), (0.2, 1, "N", 4.0), (0.2, 3, "N", 9.0))).put(rows((0.1, 1, "H", None), (0.2, 3, "N", 8.5), (0.3, 1, "N", float("nan"))))
+    t = {(r.alpha, r.b, r.table_type): r.cost for r in results.ResultStore(spark, path, ["cost", "kernel_time"]).table().collect()}
+    assert t[(0.1, 1, "N")] == t[(0.1, 1, "H")] == 5.0 and t[(0.2, 3, "N")] == 8.5 and len(t) == 6
+    best = {(r.table_type, r.kind, r.alpha, r.b) for r in s.best().collect()}
+    assert best == {("N", "global", 0.1, 2), ("N", "local", 0.2, 1), ("H", "global", 0.1, 1)}
+    assert '"total_rows":5' in s.summary().where("table_type = 'N'").first().json
+    assert results.ResultStore(spark, path + "-none", ["cost"]).best().count() == 0
+
+
+def test_bin_edges(spark):
+    df = lambda *x: spark.createDataFrame([(v,) for v in x], "v double")
+    edges = lambda d, *a, **k: [r.edge for r in results.bin_edges(d, "v", *a, **k).orderBy("i").collect()]
+    assert edges(df(), 4) == edges(df(None, float("nan")), 4) == [0.0, 1.0] and edges(df(3.0, 3.0), 4) == [3.0, 4.0]
+    values = [float(i) for i in range(101)]
+    assert edges(df(*values), 4, clip=(0, 1)) == [0, 25, 50, 75, 100] and edges(df(*values), 2, "linear", (0.1, 0.9), False) == [0, 10, 50, 90, 100]
+    logs = edges(df(*[10.0**k for k in range(5)], -1.0), 2, "log-quantile", (0, 1))
+    assert logs == pytest.approx([1, 100, 10_000])
+    assert edges(df(1.0, 1.0, 1.0, 2.0), 4, clip=(0, 1)) == [1.0, 1.25, 2.0] or len(set(edges(df(1.0, 1.0, 1.0, 2.0), 4, clip=(0, 1)))) > 1
+    with pytest.raises(ValueError):
+        results.bin_edges(df(1.0), "v", 2, "other")
+
+
+def test_displacement_against_insertion(spark):
+    rnd = random.Random(3)
+    rows, want = [], {}
+    for t in range(30):
+        size, slots = rnd.choice([8, 16]), 3
+        keys = [rnd.randrange(size) if rnd.random() < 0.6 else size - 1 for _ in range(rnd.randrange(1, size * slots))]
+        used, moves = [0] * size, 0
+        for k in keys:
+            while used[k] == slots:
+                k, moves = (k + 1) % size, moves + 1
+            used[k] += 1
+        want[t] = moves
+        rows += [(t, size, k, keys.count(k)) for k in set(keys)]
+    got = diagnostics.displacement(spark.createDataFrame(rows, "set long, len long, bucket long, n long"), 3)
+    assert {r.set: r.displaced for r in got.collect()} == want and max(want.values()) > 10
+
+
+def test_general_matcher(spark):
+    rnd = random.Random(7)
+    pairs = [p for p in complete(8) if rnd.random() < 0.6]
+    g = graph_of(spark, pairs).cache()
+    shapes = {"Q0": [(0, 1), (0, 2), (1, 2)], "Q1": [(0, 1), (0, 2), (1, 3), (2, 3)], "Q2": [(0, 1), (0, 2), (1, 2), (1, 3), (2, 3)], "Q6": [(0, 1), (0, 2), (0, 3), (1, 2), (1, 3), (2, 4), (3, 4)]}
+    nodes = {"Q0": 3, "Q1": 4, "Q2": 4, "Q6": 5}
+    for q, shape in shapes.items():
+        assert one(matching.match_count(g, matching.PATTERNS[q])) == brute(pairs, shape, nodes[q])
+    path = matching.Pattern([0, 1], [0, 1, 2], [-1, -1, 0], distinct=True)
+    assert one(matching.match_count(g, path)) == brute(pairs, [(0, 1), (1, 2)], 3) == matching.match_rows(g, path).count()
+    assert one(matching.match_count(graph_of(spark, []), path)) == 0
+    for wrong in (matching.Pattern([1], [0, 1]), matching.Pattern([0, -1], [0, 1, 2]), matching.Pattern([0], [0, 1, 1])):
+        with pytest.raises(ValueError):
+            matching.match_count(g, wrong)
+
+
+def test_hashes(spark):
+    def mix(h):
+        h ^= h >> 16
+        h = h * 0x85EBCA6B & 0xFFFFFFFF
+        h ^= h >> 13
+        h = h * 0xC2B2AE35 & 0xFFFFFFFF
+        return h ^ h >> 16
+
+    keys = [0, 1, 2, 12345, 2**31 - 1, 2**32 - 1]
+    assert [r.h for r in spark.createDataFrame([(k,) for k in keys], "k long").select(bits.mix32(F.col("k")).alias("h")).collect()] == [mix(k) for k in keys]
+
+
+def test_membership_and_names(spark):
+    s = spark.createDataFrame([(1, 1), (1, 2), (None, 3)], "set_id long, elem long")
+    new = spark.createDataFrame([(1, 2), (2, 9), (2, None)], "set_id long, elem long")
+    assert sorted(map(tuple, setops.insert(s, new).collect())) == [(1, 1), (1, 2), (2, 9)]
+    assert [tuple(r) for r in setops.remove(s, new).collect()] == [(1, 1)]
+    assert {tuple(r) for r in setops.contains(s, new).collect()} == {(1, 2, True), (2, 9, False), (2, None, False)}
+    assert [tuple(r) for r in setops.fill(s, 0.2, 5).collect()] == [(1, 2, 40, 0.05)]
+    names = spark.createDataFrame([("web-a_adj.mtx.gz",), ("b_adj",), ("c",), (None,)], "n string")
+    assert [r[0] for r in names.select(graph_name(F.col("n"))).collect()] == ["web-a", "b", "c", None]
+    assert [r[0] for r in names.select(slug(F.col("n"))).collect()] == ["web_a_adj_mtx_gz", "b_adj", "c", None]
+
+
+def test_large_components_and_few_edges_agree(spark):
+    rnd = random.Random(9)
+    e = spark.createDataFrame([(rnd.randrange(300), rnd.randrange(300)) for _ in range(250)], EDGES)
+    rows = lambda few: sorted(map(tuple, connected_components(e, few=few).collect()))
+    assert rows(0) == rows(10**6)
 
 
 def test_registry():

@@ -1,10 +1,14 @@
 """Round trips of files."""
 
+import json
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from setweave.sources import files
+from setweave.operators import graph
+from setweave.plans import build
+from setweave.sources import catalogue, exports, files
 
 
 def test_text_sources(spark, tmp_path):
@@ -18,7 +22,7 @@ def test_text_sources(spark, tmp_path):
 
 @pytest.mark.parametrize("layout", list(files.VECTORS))
 def test_vectors(spark, tmp_path, layout):
-    values = [5, -3, 2**31 - 1, 0]
+    values = [5, 3 if layout == "raw_uint32" else -3, 2**31 - 1, 0]
     files.write_vector(values, str(tmp_path / "v.bin"), layout)
     assert [r.value for r in files.vector(spark, str(tmp_path / "v.bin"), layout).orderBy("pos").collect()] == values
 
@@ -43,3 +47,82 @@ def test_results(spark, tmp_path):
     files.write_results_csv(df, str(tmp_path / "r"), ["b"])
     back = files.results_csv(spark, str(tmp_path / "r"), "b int, a string, z double")
     assert [tuple(r) for r in back.collect()] == [(1, "x", None)]
+
+
+def test_vectors_in_ranges(spark, tmp_path, monkeypatch):
+    """Ranges of a long file, exported from a table, and what is wrong with files and tables."""
+    monkeypatch.setattr(files, "RANGE", 100)
+    values = spark.range(1050).select(F.col("id").alias("pos"), (F.col("id") * 7 % 1000).alias("value")).repartition(5)
+    out = str(tmp_path / "v.bin")
+    assert exports.write_vector(values, out) == 1050
+    assert [r.value for r in files.vector(spark, out).orderBy("pos").collect()] == [i * 7 % 1000 for i in range(1050)]
+    assert exports.write_vector(values.limit(0), out) == 0 and files.vector(spark, out).count() == 0
+    for bad in (values.where("pos <> 500"), values.withColumn("value", F.col("value") + 2**31)):
+        with pytest.raises(Exception, match="does not fit|begins at"):
+            exports.write_vector(bad, out)
+    (tmp_path / "w.bin").write_bytes((3).to_bytes(8, "little") + bytes(8))
+    with pytest.raises(Exception, match="disagree"):
+        files.vector(spark, str(tmp_path / "w.bin")).count()
+    files.write_scalar(0.25, out, "float32")
+    assert files.read_scalar(out, "float32") == 0.25
+    with pytest.raises(ValueError):
+        files.read_scalar(out, "uint64")
+
+
+def small_graph(spark):
+    rnd = random.Random(6)
+    return graph.undirected(spark.createDataFrame([(rnd.randrange(40), rnd.randrange(40)) for _ in range(90)], "a long, b long"), "a", "b")
+
+
+def test_csr_and_ranges(spark, tmp_path):
+    e, folder = small_graph(spark), str(tmp_path / "csr")
+    exports.export_csr(e, folder)
+    ids = {x: i for i, x in enumerate(sorted({v for r in e.collect() for v in r}))}
+    want = {(ids[a], ids[b]) for r in e.collect() for a, b in ((r.src, r.dst), (r.dst, r.src))}
+    got = [tuple(r) for r in exports.read_csr(spark, folder).collect()]
+    assert set(got) == want and len(got) == len(want) == files.read_scalar(f"{folder}/num_edges.bin") and files.read_scalar(f"{folder}/num_nodes.bin") == len(ids)
+    cols, offsets, n = exports.export_partitions(e, str(tmp_path / "ranges"), 7)
+    assert exports.merge_partitions(spark, cols, offsets, n, str(tmp_path / "ranges")) == len(want)
+    assert (tmp_path / "ranges/csr_cols.bin").read_bytes() == (tmp_path / "csr/csr_cols.bin").read_bytes()
+    with pytest.raises(ValueError, match="nodes"):
+        exports.merge_partitions(spark, [], offsets, n + 1, str(tmp_path / "ranges"))
+    (tmp_path / "o.bin").write_bytes(b"\x01\0\0\0")
+    with pytest.raises(ValueError, match="begin with 0"):
+        exports.merge_partitions(spark, [], [str(tmp_path / "o.bin")], 0, str(tmp_path / "ranges"))
+
+
+def test_stream(spark, tmp_path):
+    adjacency = spark.createDataFrame([(3, [9, 1]), (17, [2]), (40, [])], "node long, nbrs array<long>")
+    exports.write_stream(adjacency, str(tmp_path), 100, 16)
+    assert sorted(map(tuple, exports.read_stream(spark, str(tmp_path), 16).collect())) == [(3, 1), (3, 9), (17, 2)]
+    assert files.read_scalar(f"{tmp_path}/num_edges.bin", "uint64") == 3
+    with pytest.raises(ValueError, match="disagree"):
+        exports.read_stream(spark, str(tmp_path), 8)
+
+
+def test_build_all(spark, tmp_path):
+    (tmp_path / "in/g").mkdir(parents=True)
+    (tmp_path / "in/g/a.edges").write_text("1 2\n2 3\n")
+    (tmp_path / "in/g/b.txt").write_text("# more\n3 1\n")
+    (tmp_path / "in/t").mkdir()
+    (tmp_path / "in/t/corpus.jsonl").write_text("".join(json.dumps({"_id": str(i), "text": t}) + "\n" for i, t in enumerate(["a b", "b c", "c"])))
+    (tmp_path / "in/t/queries.jsonl").write_text('{"_id": "q", "text": "C a zzz"}\n{"_id": "r", "text": ""}\n')
+    done = build.build_all(spark, str(tmp_path / "in"), str(tmp_path / "out"))
+    assert done == {"g/sss": True, "g/tc": True, "t/ir": True}
+    assert build.build_all(spark, str(tmp_path / "in"), str(tmp_path / "out")) == {k: False for k in done}
+    assert files.read_scalar(str(tmp_path / "out/g/tc/num_edges_tri.bin")) == 3
+    read = lambda n: [r.value for r in files.vector(spark, str(tmp_path / f"out/t/ir/{n}.bin")).orderBy("pos").collect()]
+    assert read("inverted_index_offsets") == [0, 1, 3, 5] and read("query") == [0, 2] and read("query_offsets") == [0, 2, 2]
+    with pytest.raises(ValueError):
+        build.processor("other")
+
+
+def test_config_and_reports(spark, tmp_path):
+    (tmp_path / "c.json").write_text('{"a": {"b": {"c": 3}}, "x": null}')
+    c = catalogue.load_config(str(tmp_path / "c.json"))
+    assert catalogue.setting(c, "a.b.c") == 3 and catalogue.setting(c, "a.q.c", 7) == 7 and catalogue.setting(c, "x", 1) is None
+    (tmp_path / "list.json").write_text("[1]")
+    with pytest.raises(ValueError):
+        catalogue.load_config(str(tmp_path / "list.json"))
+    (tmp_path / "r.txt").write_text("Dataset  Time  Sec\n-----\nwt  1.5/2.5  7\nshort\n\n")
+    assert [tuple(r) for r in files.summary_rows(spark, str(tmp_path / "r.txt"), ["dataset", "time", "sec"], ["time"]).collect()] == [("wt", "1.5", "2.5", "7")]
