@@ -359,3 +359,23 @@ def test_p9(spark, monkeypatch):
     # the distance decides: beyond any distance nothing is spam
     monkeypatch.setattr(spam_pages, "CUT", 1e9)
     assert spam_pages.spam_pages(docs).count() == 0
+
+
+SCHEMAS = {
+    "corpus": "_id string, text string, title string, dataset string, fetched_at timestamp",
+    "queries": "_id string, text string, dataset string",
+    "edge_pairs": "u long, v long, shard string, seen_at timestamp, loaded_at timestamp",
+    "documents": "doc_id long, text string, lang string, source string, n_chars long, project string, crawled_at timestamp",
+    "eval_items": "item_id long, suite string, text string",
+    "source_targets": "source string, target_share double, max_repeats int",
+}
+
+
+@pytest.mark.parametrize("rows", ["none", "nulls"])
+def test_empty_tables_and_rows_of_nulls(spark, tmp_path, rows):
+    """No rows, and rows of nulls alone (with columns whose names the operators use inside), give no results."""
+    for table, schema in SCHEMAS.items():
+        clash = schema + ", key long, id long, n long, root long, part string, term int, position int"
+        spark.createDataFrame([] if rows == "none" else [(None,) * len(clash.split(",")) for _ in range(3)], clash).write.parquet(f"{tmp_path}/{table}.parquet")
+    counts = {q: f(spark, str(tmp_path)).count() for q, f in queries.QUERIES.items()}
+    assert set(counts.values()) == {0}, counts
