@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from setweave.operators.skew import skew_join
 from setweave.session import drop_path, materialize, table_path
 
 
@@ -36,13 +37,14 @@ def _union_find(batches):
 
 
 def _round(e: DataFrame) -> DataFrame:
-    """One large-star and one small-star; e holds (u, v) with u > v."""
+    """One large-star and one small-star; e holds (u, v) with u > v. The hub of a component, on whom most edges hang, is joined by broadcast."""
     both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").unionByName(e.join(low, "u").select("u", F.col("m").alias("v")))
+    low = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n")), "least")
+    star = skew_join(both, low.select("u", "m"), "u", low.select("u", "n"))
+    large = star.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").unionByName(star.where("v < u").select("u", F.col("m").alias("v")))
     large = large.distinct()
-    least = large.groupBy("u").agg(F.min("v").alias("m"))
-    small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v")
+    least = materialize(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "least")
+    small = skew_join(large, least.select("u", "m"), "u", least.select("u", "n")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v")
     return small.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
