@@ -150,7 +150,11 @@ def k23_with_edge(edges: DataFrame) -> DataFrame:
     apex = F.explode(F.array(*(F.struct(F.least(a, b).alias("x"), F.greatest(a, b).alias("y"), F.col(c).alias("p")) for a, b, c in (("v0", "v1", "v2"), ("v0", "v2", "v1"), ("v1", "v2", "v0"))))).alias("e")
     a = materialize(t.select(apex).select("e.x", "e.y", "e.p"), "apexes")
     inner = a.join(a.toDF("x", "y", "q"), ["x", "y"]).where("p < q").groupBy("p", "q").agg(F.count("*").alias("e"))
-    n = symmetric(edges)
+    # Of a pair, the neighbours of the end that has fewer are listed and looked up at the other.
+    n, d = symmetric(edges), degrees(edges)
+    inner = inner.join(d.toDF("p", "dp"), "p").join(d.toDF("q", "dq"), "q")
+    turn = F.col("dp") > F.col("dq")
+    inner = inner.select(F.when(turn, F.col("q")).otherwise(F.col("p")).alias("p"), F.when(turn, F.col("p")).otherwise(F.col("q")).alias("q"), "e")
     common = inner.join(n.toDF("p", "w"), "p").join(n.toDF("q", "w"), ["q", "w"]).groupBy("p", "q", "e").agg(F.count("*").alias("c"))
     return _total(common, F.expr("e * (c - 2)"))
 
