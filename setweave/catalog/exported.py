@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from setweave.catalog import graphs, texts
 from setweave.operators.graph import dense_ids, symmetric
-from setweave.session import materialize, table_path
+from setweave.session import materialize, table_path, tune
 from setweave.sources import exports, files
 
 QUERIES, SQL = {}, {}
@@ -94,3 +94,49 @@ def export_ir(spark, d):
     folder = table_path(spark, "ir")
     exports.export_index(texts._docs(spark, d), texts._docs(spark, d, "queries", "query"), folder)
     return _vectors(spark, folder, ["inverted_index", "inverted_index_offsets", "query", "query_offsets"])
+
+
+def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return tune(spark).read.parquet(f"{d}/{name}.parquet")
+
+
+@query("select l_partkey as u, l_suppkey as v from lineitem where l_partkey <> l_suppkey")
+def edge_list_scan(spark, d):
+    """Lines `u v weight` among comments and broken lines."""
+    folder = table_path(spark, "edges")
+    lines = _table(spark, d, "lineitem").select(F.explode(F.array(F.concat_ws(" ", "l_partkey", "l_suppkey", "l_quantity"), F.lit("# note"), F.lit("broken line"), F.col("l_orderkey").cast("string"))).alias("value"))
+    lines.write.text(folder)
+    return files.edge_list(spark, folder)
+
+
+@query("select _id, text, title from corpus")
+def json_lines_scan(spark, d):
+    folder = table_path(spark, "json")
+    _table(spark, d, "corpus").select("_id", "text", "title").write.option("ignoreNullFields", False).json(folder)
+    return files.json_lines(spark, folder)
+
+
+@query("select query_id, iter, doc_id, coalesce(relevance, -1) as relevance from qrels")
+def judgements_scan(spark, d):
+    folder = table_path(spark, "judgements")
+    _table(spark, d, "qrels").select("query_id", "iter", "doc_id", "relevance").write.option("sep", "\t").csv(folder)
+    return files.judgements(spark, folder).fillna(-1, ["relevance"])
+
+
+@query("select event_id, event_type, value, user_id from events")
+def results_csv_scan(spark, d):
+    """A result table with its known columns first, read back by its schema."""
+    folder = table_path(spark, "results")
+    files.write_results_csv(_table(spark, d, "events").select("value", "user_id", "event_type", "event_id"), folder, ["event_id", "event_type"])
+    return files.results_csv(spark, folder, "event_id long, event_type string, user_id long, value double")
+
+
+@query("select distinct l_partkey as u, l_suppkey as v from lineitem")
+def weighted_tsv_scan(spark, d):
+    """Lines `u v w` after a header of sizes, in one file."""
+    folder = table_path(spark, "tsv")
+    e = _table(spark, d, "lineitem").select("l_partkey", "l_suppkey").distinct()
+    head = spark.createDataFrame([("% about", 0), ("999999 999999 7", 1)], "value string, at int")
+    rows = e.select(F.concat_ws("\t", "l_partkey", "l_suppkey", F.lit(1)).alias("value"), F.lit(2).alias("at"))
+    head.unionByName(rows).coalesce(1).sortWithinPartitions("at").select("value").write.text(folder)
+    return files.weighted_tsv(spark, folder)

@@ -33,7 +33,8 @@ def tree_aggregate(rows: DataFrame, keys: list[str], states: Mapping[str, tuple[
     """
     if fan_in < 2:
         raise ValueError("fan_in must be 2 or more")
-    chunks = chunks or max(1, rows.rdd.getNumPartitions())
+    # Asked of the plan: no job runs for a plain scan, nor for anything without a sort or a broadcast.
+    chunks = chunks or max(1, rows._jdf.queryExecution().toRdd().getNumPartitions())
     taken = rows.select(*keys, *(v.alias(f"_v{i}") for i, (_, v) in enumerate(states.values())), F.spark_partition_id().alias("_chunk"))
     n = rounds(chunks, fan_in)
     width = 1

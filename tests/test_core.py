@@ -151,7 +151,9 @@ def test_set_operations(spark):
     s = spark.createDataFrame([(1, 1), (1, 2), (1, 2), (2, 2), (2, 3), (2, 4), (None, 1), (1, None)], "set_id long, elem long")
     r = setops.pair_counts(spark.createDataFrame([(1, 2), (1, 9)], EDGES), s).orderBy("b").collect()
     assert [tuple(x) for x in r] == [(1, 2, 1, 4, 1), (1, 9, 0, 2, 2)]
-    assert setops.random_sets(spark, 3, 5, 10).count() == 15
+    r = setops.random_sets(spark, 30, 50, 10)
+    assert r.count() == 1500 and {x.elem for x in r.collect()} == set(range(11)) and r.groupBy("set_id").count().where("count = 50").count() == 30
+    assert r.exceptAll(setops.random_sets(spark, 30, 50, 10)).count() == 0
 
 
 @pytest.mark.parametrize("problem,want", [((10_000, 32, 32, 4), (9.006586103162421, 0.25, 8)), ((1_000_000, 32, 128, 4), (4.007380077760372, 0.2, 5))])
