@@ -19,10 +19,10 @@ _MIX = np.uint64(0xBF58476D1CE4E5B9)
 
 
 class _Hashes(dict):
-    """Token -> 64-bit hash; emptied when it holds a million tokens."""
+    """Token -> 64-bit hash; emptied when it holds 2**18 tokens, some 40 MB."""
 
     def __missing__(self, token: str) -> int:
-        if len(self) >= 1 << 20:
+        if len(self) >= 1 << 18:
             self.clear()
         h = self[token] = xxhash.xxh64_intdigest(token)
         return h
