@@ -12,6 +12,7 @@ from setweave.functions import bits
 from setweave.functions.text import graph_name, slug, tokens
 from setweave.operators import diagnostics, graph, heavy, matching, order, patterns, results, retrieval, setops, skew, solver, tree
 from setweave.operators.components import connected_components
+from setweave.session import materialize
 
 EDGES = "a long, b long"
 
@@ -156,6 +157,44 @@ def test_set_operations(spark):
     assert r.exceptAll(setops.random_sets(spark, 30, 50, 10)).count() == 0
 
 
+def test_matches_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "BLOCK", 64)
+    rnd = random.Random(4)
+    texts = {f"d{i}": " ".join(rnd.choices("abcdefgh", k=rnd.randrange(7))) for i in range(400)}
+    asked = {f"q{i}": " ".join(rnd.choices("abcdefghz", k=rnd.randrange(4))) for i in range(20)}
+    sets = retrieval.term_sets(spark.createDataFrame(list(texts.items()), "doc string, text string").coalesce(2))
+    queries = spark.createDataFrame(list(asked.items()), "query string, text string")
+    known = materialize(retrieval.known_sets(queries, sets), "asked")
+    need = {q: set(t.split()) - {"z"} for q, t in asked.items()}
+    want = sorted((q, d) for q, n in need.items() if n for d, t in texts.items() if n <= set(t.split()))
+    assert sorted(map(tuple, retrieval.matches(known, sets).collect())) == want
+    counts = {q: sum(x == q for x, _ in want) for q in asked}
+    assert {r.query: r.hits for r in retrieval.every_query(queries, retrieval.match_counts(known, sets)).collect()} == counts
+    assert sum(r.hits for r in retrieval.match_counts_partitioned(known, sets, 3).collect()) == len(want)
+    judged = spark.createDataFrame([(q, d, 1) for q in asked for d in list(texts)[::9]], "query string, doc string, relevance int")
+    assert sorted((r.query, r.doc) for r in retrieval.judged_matches(known, sets, judged).collect()) == [x for x in want if x[1] in list(texts)[::9]]
+
+
+def shuffled_rows(df):
+    """Rows that the exchanges of a plan wrote, after it ran."""
+    df.collect()
+    text, out = df._jdf.queryExecution().executedPlan(), []
+
+    def walk(node):
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            return walk(node.executedPlan())
+        if name in ("ShuffleQueryStageExec", "BroadcastQueryStageExec"):
+            return walk(node.plan())
+        if name == "ShuffleExchangeExec":
+            out.append(node.metrics().apply("shuffleRecordsWritten").value())
+        for i in range(node.children().size()):
+            walk(node.children().apply(i))
+
+    walk(text)
+    return sum(out)
+
+
 @pytest.mark.parametrize("problem,want", [((10_000, 32, 32, 4), (9.006586103162421, 0.25, 8)), ((1_000_000, 32, 128, 4), (4.007380077760372, 0.2, 5))])
 def test_solver_golden(problem, want):
     best = min((solver.cost(problem[0], a, b, *problem[1:]), a, b) for a in solver.ALPHAS for b in solver.BUCKETS)
