@@ -37,10 +37,9 @@ _SETS = """s as (select distinct l_suppkey as set_id, l_partkey as elem from lin
 
 
 def _pairs(spark, d) -> DataFrame:
-    s = _read(spark, d, "supplier").select("s_suppkey", "s_nationkey")
-    pairs = s.toDF("a", "k").join(s.toDF("b", "k"), "k").where("a < b").select("a", "b")
+    groups = _read(spark, d, "supplier").select("s_suppkey", "s_nationkey")
     sets = _read(spark, d, "lineitem").select(F.col("l_suppkey").alias("set_id"), F.col("l_partkey").alias("elem"))
-    return setops.pair_counts(pairs, sets)
+    return setops.group_pair_counts(groups, sets)
 
 
 @query(f"with {_SETS} select a, b, shared from r")

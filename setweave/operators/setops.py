@@ -18,6 +18,30 @@ def pair_counts(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return j.select("a", "b", "shared", (F.col("na") + F.col("nb") - F.col("shared")).alias("united"), (F.col("na") - F.col("shared")).alias("only_a"))
 
 
+def group_pair_counts(groups: DataFrame, sets: DataFrame, salts: int = 16) -> DataFrame:
+    """pair_counts of all pairs a < b of sets of one group; groups (set_id, group).
+
+    Sets of a group meet at the members they share, so no pair lists its members. Pairs are built in salts x groups
+    cells, which a few large groups fill evenly.
+    """
+    spark = groups.sparkSession
+    s = sets.select("set_id", "elem").where("set_id is not null and elem is not null").distinct()
+    g = groups.toDF("set_id", "k").where("set_id is not null and k is not null").groupBy("set_id").agg(F.collect_set("k").alias("ks"))
+    # A pair that shares several groups is built in the least of them; `ks` is null for sets of one group.
+    g = g.select("set_id", F.explode("ks").alias("k"), F.when(F.size("ks") > 1, F.col("ks")).alias("ks"))
+    once = F.expr("a < b and (ka is null or kb is null or k = array_min(array_intersect(ka, kb)))")
+    inside = s.join(g.hint("merge"), "set_id").select("set_id", "k", "elem", "ks")
+    met = inside.toDF("a", "k", "elem", "ka").join(inside.toDF("b", "k", "elem", "kb").hint("merge"), ["elem", "k"]).where(once)
+    hit = met.groupBy("a", "b").agg(F.count("*").alias("shared"))
+    g = g.join(s.groupBy("set_id").agg(F.count("*").alias("n")), "set_id", "left").fillna(0, ["n"]).select("set_id", "k", "ks", "n")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    x = g.toDF("a", "k", "ka", "na").withColumn("_s", F.pmod(F.xxhash64("a"), F.lit(salts)).cast("int"))
+    y = g.toDF("b", "k", "kb", "nb").withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    p = x.repartition(n, "k", "_s").join(y.repartition(n, "k", "_s").hint("merge"), ["k", "_s"]).where(once).select("a", "b", "na", "nb")
+    j = p.join(hit, ["a", "b"], "left").fillna(0, ["shared"])
+    return j.select("a", "b", "shared", (F.col("na") + F.col("nb") - F.col("shared")).alias("united"), (F.col("na") - F.col("shared")).alias("only_a"))
+
+
 def members_in(left: DataFrame, right: DataFrame) -> DataFrame:
     """Rows of left (elem), repeats kept, whose element is in right (elem)."""
     return left.join(right.select("elem").distinct(), "elem", "left_semi")

@@ -195,6 +195,21 @@ def shuffled_rows(df):
     return sum(out)
 
 
+def test_pairs_of_groups(spark):
+    rnd = random.Random(6)
+    groups = [(i, i % 3) for i in range(12)] + [(3, 1), (4, 0), (None, 0), (5, None)]
+    sets = [(rnd.randrange(11), rnd.randrange(9)) for _ in range(60)] + [(None, 1), (1, None)]
+    g, s = spark.createDataFrame(groups, "set_id long, k long"), spark.createDataFrame(sets, "set_id long, elem long")
+    x = g.where("set_id is not null")
+    pairs = x.toDF("a", "k").join(x.toDF("b", "k"), "k").where("a < b").select("a", "b")
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(setops.group_pair_counts(g, s, 4)) == rows(setops.pair_counts(pairs, s)) != []
+    # 60 sets of one group, each with 200 members of its own: pairs don't list their members
+    apart = spark.range(12_000).selectExpr("id div 200 as set_id", "id as elem")
+    one_group = spark.range(60).selectExpr("id as set_id", "0L as k")
+    assert shuffled_rows(setops.group_pair_counts(one_group, apart, 2)) < 60_000
+
+
 @pytest.mark.parametrize("problem,want", [((10_000, 32, 32, 4), (9.006586103162421, 0.25, 8)), ((1_000_000, 32, 128, 4), (4.007380077760372, 0.2, 5))])
 def test_solver_golden(problem, want):
     best = min((solver.cost(problem[0], a, b, *problem[1:]), a, b) for a in solver.ALPHAS for b in solver.BUCKETS)
