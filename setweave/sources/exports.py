@@ -6,7 +6,9 @@ parts are then joined, header first, as a stream of fixed memory. Counts are che
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from contextlib import ExitStack
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +19,7 @@ from pyspark.sql import functions as F
 from setweave.operators import graph, retrieval
 from setweave.operators.order import global_index, prefix_sum
 from setweave.session import drop_path, materialize
-from setweave.sources.files import VECTORS, encode_blocks, opened, read_blocks, read_scalar, vector, write_scalar
+from setweave.sources.files import RANGE, VECTORS, encode_blocks, opened, read_blocks, read_scalar, vector, write_scalar
 
 _CHUNK = 1 << 23
 
@@ -74,6 +76,32 @@ def write_vector(values: DataFrame, out: str, layout: str = "int32") -> int:
     return total
 
 
+def _write_lines(lines: DataFrame, outs: dict[str, str]) -> int:
+    """lines (src, dst) in their order, sorted once, as an int32 vector file for each column named; the number of lines."""
+    limits = np.iinfo(np.int32)
+
+    def run(batches):
+        part, n = TaskContext.get().partitionId(), 0
+        with ExitStack() as held:
+            f = {c: held.enter_context(opened(f"{out}.part-{part:06d}", "wb")) for c, out in outs.items()}
+            for b in batches:
+                for c in outs:
+                    v = b.column(c).to_numpy()
+                    if len(v) and (v.min() < limits.min or v.max() > limits.max):
+                        raise ValueError(f"{outs[c]}: a value that does not fit int32")
+                    f[c].write(v.astype("<i4").tobytes())
+                n += b.num_rows
+        yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([n])], names=["part", "n"])
+
+    ordered = lines.select("src", "dst").repartitionByRange("src", "dst").sortWithinPartitions("src", "dst")
+    written = sorted(ordered.mapInArrow(run, "part long, n long").collect())  # a row a task; ranges are numbered in their order
+    total = sum(r.n for r in written)
+    for out in outs.values():
+        if (size := _join(lines.sparkSession, [f"{out}.part-{r.part:06d}" for r in written], out, total.to_bytes(8, "little"))) != 4 * total:
+            raise ValueError(f"{out}: {size} bytes for {total} values")
+    return total
+
+
 def _offsets(degrees: DataFrame) -> DataFrame:
     """degrees (id, deg), ids 0.. -> (pos, value): where each id begins, and the end of the last."""
     begun = materialize(prefix_sum(degrees, [F.asc("id")], "deg", "begin"), "offsets")
@@ -95,11 +123,9 @@ def export_csr(edges: DataFrame, folder: str, oriented: bool = False) -> None:
     """
     lines, n = _dense(edges, not oriented)
     spark, tail = edges.sparkSession, "_tri" if oriented else ""
-    rows = materialize(global_index(lines, [F.asc("src"), F.asc("dst")], "pos"), "csr")
-    m = write_vector(rows.select("pos", F.col("dst").alias("value")), f"{folder}/csr_cols{tail}.bin")
-    if not oriented:
-        write_vector(rows.select("pos", F.col("src").alias("value")), f"{folder}/vertexs.bin")
-    deg = spark.range(n).join(rows.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("deg")), "id", "left").fillna(0, ["deg"])
+    lines = materialize(lines, "csr")
+    m = _write_lines(lines, {"dst": f"{folder}/csr_cols{tail}.bin"} | ({} if oriented else {"src": f"{folder}/vertexs.bin"}))
+    deg = spark.range(n).join(lines.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("deg")), "id", "left").fillna(0, ["deg"])
     write_vector(_offsets(deg), f"{folder}/csr_offsets{tail}.bin")
     write_scalar(n, f"{folder}/num_nodes{tail}.bin")
     write_scalar(m, f"{folder}/num_edges{tail}.bin")
@@ -245,8 +271,29 @@ def read_stream(spark: SparkSession, folder: str, nodes_per_block: int = 65536)
 
 
 def read_csr(spark: SparkSession, folder: str, tail: str = "") -> DataFrame:
-    """Edges (u, v) of CSR files, the offsets' ranges exploded and joined with the columns by position."""
-    o = vector(spark, f"{folder}/csr_offsets{tail}.bin").select("pos", "value")
-    after = o.select((F.col("pos") - 1).alias("pos"), F.col("value").alias("end"))
-    rows = o.join(after, "pos").where("value < end").select(F.col("pos").alias("u"), F.explode(F.sequence("value", F.col("end") - 1)).alias("pos"))
-    return rows.join(vector(spark, f"{folder}/csr_cols{tail}.bin").select("pos", F.col("value").alias("v")), "pos").select("u", "v")
+    """Edges (u, v) of CSR files: a task reads a range of the columns and the offsets that cut it; nothing is joined.
+
+    Offsets that do not end with the number of columns are an error.
+    """
+    cols, offsets = f"{folder}/csr_cols{tail}.bin", f"{folder}/csr_offsets{tail}.bin"
+    with opened(cols) as f, opened(offsets) as g:
+        (m, n), sizes = (int.from_bytes(x.read_at(8, 0), "little") for x in (f, g)), (f.size(), g.size())
+        last = int.from_bytes(g.read_at(4, sizes[1] - 4), "little", signed=True) if n else 0
+    if sizes != (8 + 4 * m, 8 + 4 * n) or last != m:
+        raise ValueError(f"{folder}: {m} columns, offsets up to {last}, or count and length disagree")
+
+    def run(batches):
+        for b in batches:
+            for lo in b.column(0).to_pylist():
+                with opened(cols) as f, opened(offsets) as g:
+                    v = np.frombuffer(f.read_at(4 * min(RANGE, m - lo), 8 + 4 * lo), "<i4").astype(np.int64)
+                    at = lambda i: int.from_bytes(g.read_at(4, 8 + 4 * i), "little", signed=True)  # noqa: E731,B023
+                    first = bisect_right(range(n), lo, key=at) - 1
+                    end = bisect_left(range(n), lo + len(v), key=at)
+                    o = np.frombuffer(g.read_at(4 * (end - first + 1), 8 + 4 * first), "<i4").astype(np.int64)
+                u = np.repeat(np.arange(first, end), np.diff(np.clip(o, lo, lo + len(v))))
+                for k in range(0, len(v), 1 << 16):
+                    yield pa.RecordBatch.from_arrays([pa.array(u[k : k + (1 << 16)]), pa.array(v[k : k + (1 << 16)])], names=["u", "v"])
+
+    starts = spark.range(0, max(m, 1), RANGE, -(-max(m, 1) // RANGE)) if m else spark.range(0)
+    return starts.mapInArrow(run, "u long, v long")

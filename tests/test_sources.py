@@ -91,6 +91,24 @@ def test_csr_and_ranges(spark, tmp_path):
         exports.merge_partitions(spark, [], [str(tmp_path / "o.bin")], 0, str(tmp_path / "ranges"))
 
 
+def test_csr_in_ranges(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(exports, "RANGE", 7)
+    e, folder = small_graph(spark), str(tmp_path)
+    exports.export_csr(e, folder)
+    exports.export_csr(e, folder, oriented=True)
+    ids = {x: i for i, x in enumerate(sorted({v for r in e.collect() for v in r}))}
+    up = sorted((ids[r.src], ids[r.dst]) for r in e.collect())
+    assert sorted(map(tuple, exports.read_csr(spark, folder, "_tri").collect())) == up
+    both = exports.read_csr(spark, folder)
+    assert [tuple(r) for r in both.collect()] == sorted(up + [(b, a) for a, b in up])
+    assert "Exchange" not in both._jdf.queryExecution().executedPlan().toString()
+    exports.export_csr(e.limit(0), str(tmp_path / "none"))
+    assert exports.read_csr(spark, str(tmp_path / "none")).count() == 0
+    files.write_vector([0, 3], f"{folder}/csr_offsets.bin")
+    with pytest.raises(ValueError, match="offsets up to 3"):
+        exports.read_csr(spark, folder)
+
+
 def test_stream(spark, tmp_path):
     adjacency = spark.createDataFrame([(3, [9, 1]), (17, [2]), (40, [])], "node long, nbrs array<long>")
     exports.write_stream(adjacency, str(tmp_path), 100, 16)
