@@ -210,6 +210,16 @@ def test_pairs_of_groups(spark):
     assert shuffled_rows(setops.group_pair_counts(one_group, apart, 2)) < 60_000
 
 
+@pytest.mark.parametrize("name", ["set_difference"])
+def test_pair_queries_list_no_members(spark, tmp_path, name):
+    spark.range(60).selectExpr("id as s_suppkey", "1 as s_nationkey").write.parquet(str(tmp_path / "supplier.parquet"))
+    spark.range(12_000).selectExpr("id div 200 as l_suppkey", "id as l_partkey").write.parquet(str(tmp_path / "lineitem.parquet"))
+    df = QUERIES[name](spark, str(tmp_path))
+    assert shuffled_rows(df) < 60_000
+    want = {"set_difference": 200, "set_intersection_count": 0}[name]
+    assert df.count() == 60 * 59 // 2 and {r[2] for r in df.collect()} == {want}
+
+
 @pytest.mark.parametrize("problem,want", [((10_000, 32, 32, 4), (9.006586103162421, 0.25, 8)), ((1_000_000, 32, 128, 4), (4.007380077760372, 0.2, 5))])
 def test_solver_golden(problem, want):
     best = min((solver.cost(problem[0], a, b, *problem[1:]), a, b) for a in solver.ALPHAS for b in solver.BUCKETS)
