@@ -210,7 +210,7 @@ def test_pairs_of_groups(spark):
     assert shuffled_rows(setops.group_pair_counts(one_group, apart, 2)) < 60_000
 
 
-@pytest.mark.parametrize("name", ["set_difference"])
+@pytest.mark.parametrize("name", ["set_difference", "set_intersection_count"])
 def test_pair_queries_list_no_members(spark, tmp_path, name):
     spark.range(60).selectExpr("id as s_suppkey", "1 as s_nationkey").write.parquet(str(tmp_path / "supplier.parquet"))
     spark.range(12_000).selectExpr("id div 200 as l_suppkey", "id as l_partkey").write.parquet(str(tmp_path / "lineitem.parquet"))
