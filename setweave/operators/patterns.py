@@ -13,33 +13,69 @@ from pyspark.sql import functions as F
 from setweave.operators.graph import degree_oriented, degrees, symmetric, vertex_rank
 from setweave.session import materialize
 
+#: Entries of neighbour lists that may be sent at once, in all or an edge, about 2 bytes each on disk.
+PASS, EDGE = 1 << 26, 6
+
 
 def out_neighbours(oriented: DataFrame) -> DataFrame:
     """(node, nbrs), at most sqrt(2 m) long when oriented by degree."""
     return oriented.groupBy(F.col("src").alias("node")).agg(F.sort_array(F.collect_list("dst")).alias("nbrs"))
 
 
-def cliques(edges: DataFrame, k: int) -> DataFrame:
-    """Partial cliques (v0..v{k-2}, common): each element of common completes a k-clique; k >= 3."""
-    o = degree_oriented(edges)
+def _in_passes(o: DataFrame, adj: DataFrame, length, take) -> DataFrame:
+    """take(p, q, turned, x, y) over the oriented edges whose ends both have lists in adj (node, nbrs), as a union of passes.
+
+    The end with the shorter list, p, sends it to the other, q; p is the edge's source, or its target where turned. The
+    lists sent at once are bounded by PASS entries or EDGE an edge: else what take gives is written pass by pass.
+    """
+    n = adj.select("node", length.alias("n"))
+    e = o.join(n.toDF("src", "n0").hint("merge"), "src").join(n.toDF("dst", "n1").hint("merge"), "dst").where("n0 > 1")
+    turned = F.col("n1") < F.col("n0")
+    ends = F.when(turned, F.col("dst")).otherwise(F.col("src")).alias("p"), F.when(turned, F.col("src")).otherwise(F.col("dst")).alias("q")
+    e = materialize(e.select(*ends, turned.alias("turned"), F.least("n0", "n1").alias("n")), "meetings")
+    sent = e.agg(F.count("*").alias("edges"), F.coalesce(F.sum("n"), F.lit(0)).alias("entries")).first()
+    passes = max(1, -(-sent.entries // max(PASS, EDGE * sent.edges)))
+    out = None
+    for k in range(passes):
+        mine = e.select("p", "q", "turned").where(F.pmod(F.xxhash64("q"), F.lit(passes)) == k)
+        met = mine.join(adj.toDF("p", "x").hint("merge"), "p").join(adj.toDF("q", "y").where(F.pmod(F.xxhash64("q"), F.lit(passes)) == k).hint("merge"), "q")
+        part = take(met)
+        part = materialize(part, "pass") if passes > 1 else part
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def cliques(edges: DataFrame, k: int, take=lambda c: c) -> DataFrame:
+    """take of partial cliques (v0..v{k-2}, common): each element of common completes a k-clique; k >= 3.
+
+    take is applied pass by pass, and the results are put together.
+    """
+    o = materialize(degree_oriented(edges), "oriented")
     adj = materialize(out_neighbours(o), "adjacency")
-    c = adj.select(F.col("node").alias("v0"), F.explode("nbrs").alias("v1"), F.col("nbrs").alias("common"))
-    for level in range(1, k - 1):
-        step = adj.select(F.col("node").alias(f"v{level}"), F.col("nbrs").alias("_n"))
-        kept = [f"v{i}" for i in range(level + 1)]
-        c = c.join(step, f"v{level}").select(*kept, F.array_intersect("common", "_n").alias("common")).where(F.size("common") > 0)
-        if level < k - 2:
-            c = c.select(*kept, F.explode("common").alias(f"v{level + 1}"), "common")
-    return c
+
+    def grow(met: DataFrame) -> DataFrame:
+        first = F.when(F.col("turned"), F.col("q")).otherwise(F.col("p")).alias("v0"), F.when(F.col("turned"), F.col("p")).otherwise(F.col("q")).alias("v1")
+        c = met.select(*first, F.array_intersect("x", "y").alias("common"))
+        for level in range(2, k - 1):
+            kept = [f"v{i}" for i in range(level + 1)]
+            # The outer form lets no filter repeat the intersection below it.
+            c = c.select(*kept[:-1], F.explode_outer("common").alias(kept[-1]), "common").where(F.col(kept[-1]).isNotNull())
+            step = adj.select(F.col("node").alias(kept[-1]), F.col("nbrs").alias("_n"))
+            c = c.join(step.hint("merge"), kept[-1]).select(*kept, F.array_intersect("common", "_n").alias("common"))
+        return take(c)
+
+    return _in_passes(o, adj, F.size("nbrs"), grow)
 
 
 def clique_count(edges: DataFrame, k: int) -> DataFrame:
-    return cliques(edges, k).agg(F.coalesce(F.sum(F.size("common").cast("long")), F.lit(0)).cast("long").alias("n"))
+    n = cliques(edges, k, lambda c: c.agg(F.sum(F.size("common").cast("long")).alias("n")))
+    return _total(n, F.col("n"))
 
 
 def clique_rows(edges: DataFrame, k: int) -> DataFrame:
     """Every k-clique once: v0..v{k-1}."""
-    return cliques(edges, k).select(*(f"v{i}" for i in range(k - 1)), F.explode("common").alias(f"v{k - 1}"))
+    last = f"v{k - 1}"
+    return cliques(edges, k, lambda c: c.select(*(f"v{i}" for i in range(k - 1)), F.explode_outer("common").alias(last)).where(F.col(last).isNotNull()))
 
 
 def support(edges: DataFrame) -> DataFrame:

@@ -70,6 +70,21 @@ def test_patterns_against_brute_force(spark):
     assert one(patterns.clique_count(graph_of(spark, complete(7)), 6)) == 7
 
 
+def test_passes_agree(spark, monkeypatch):
+    """Lists go to the other end in bounded passes, and the end with the shorter list sends it."""
+    rnd = random.Random(11)
+    g = graph_of(spark, [p for p in complete(14) if rnd.random() < 0.7])
+    written = []
+    want = [one(patterns.clique_count(g, k)) for k in (3, 4, 5, 6)], sorted(tuple(r) for r in patterns.support(g).collect())
+    monkeypatch.setattr(patterns, "PASS", 16)
+    monkeypatch.setattr(patterns, "EDGE", 1)
+    monkeypatch.setattr(patterns, "materialize", lambda df, name: written.append(name) or materialize(df, name))
+    assert ([one(patterns.clique_count(g, k)) for k in (3, 4, 5, 6)], sorted(tuple(r) for r in patterns.support(g).collect())) == want
+    assert written.count("pass") > 10
+    e = {tuple(r) for r in g.collect()}
+    assert want[0] == [sum(all(p in e for p in itertools.combinations(c, 2)) for c in itertools.combinations(range(1, 15), k)) for k in (3, 4, 5, 6)]
+
+
 def test_similarity_variants_agree(spark):
     rnd = random.Random(2)
     g = graph_of(spark, [(rnd.randrange(30), rnd.randrange(30)) for _ in range(150)]).cache()
