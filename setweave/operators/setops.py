@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from setweave.operators.graph import table_length
+from setweave.session import discard, materialize
 
 
 def pair_counts(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -22,7 +23,7 @@ def group_pair_counts(groups: DataFrame, sets: DataFrame, salts: int = 16) -> Da
     """pair_counts of all pairs a < b of sets of one group; groups (set_id, group).
 
     Sets of a group meet at the members they share, so no pair lists its members. Pairs are built in salts x groups
-    cells, which a few large groups fill evenly.
+    cells, which a few large groups fill evenly. Steps are written, so the shuffle files of one step only are held.
     """
     spark = groups.sparkSession
     s = sets.select("set_id", "elem").where("set_id is not null and elem is not null").distinct()
@@ -30,10 +31,12 @@ def group_pair_counts(groups: DataFrame, sets: DataFrame, salts: int = 16) -> Da
     # A pair that shares several groups is built in the least of them; `ks` is null for sets of one group.
     g = g.select("set_id", F.explode("ks").alias("k"), F.when(F.size("ks") > 1, F.col("ks")).alias("ks"))
     once = F.expr("a < b and (ka is null or kb is null or k = array_min(array_intersect(ka, kb)))")
-    inside = s.join(g.hint("merge"), "set_id").select("set_id", "k", "elem", "ks")
+    inside = materialize(s.join(g.hint("merge"), "set_id").select("set_id", "k", "elem", "ks"), "inside")
+    g = g.join(inside.groupBy("set_id", "k").agg(F.count("*").alias("n")), ["set_id", "k"], "left").fillna(0, ["n"]).select("set_id", "k", "ks", "n")
+    g = materialize(g, "groups")
     met = inside.toDF("a", "k", "elem", "ka").join(inside.toDF("b", "k", "elem", "kb").hint("merge"), ["elem", "k"]).where(once)
-    hit = met.groupBy("a", "b").agg(F.count("*").alias("shared"))
-    g = g.join(s.groupBy("set_id").agg(F.count("*").alias("n")), "set_id", "left").fillna(0, ["n"]).select("set_id", "k", "ks", "n")
+    hit = materialize(met.groupBy("a", "b").agg(F.count("*").alias("shared")), "shared")
+    discard(inside)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     x = g.toDF("a", "k", "ka", "na").withColumn("_s", F.pmod(F.xxhash64("a"), F.lit(salts)).cast("int"))
     y = g.toDF("b", "k", "kb", "nb").withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))

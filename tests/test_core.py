@@ -225,6 +225,17 @@ def test_pairs_of_groups(spark):
     assert shuffled_rows(setops.group_pair_counts(one_group, apart, 2)) < 60_000
 
 
+def test_pairs_are_counted_in_steps(spark, monkeypatch):
+    """Members and counts are written, so the last query does not hold the files of the steps before; members go when counted."""
+    written, gone = [], []
+    monkeypatch.setattr(setops, "materialize", lambda df, name: written.append(name) or materialize(df, name), raising=False)
+    monkeypatch.setattr(setops, "discard", lambda df: gone.append(df.columns), raising=False)
+    g = spark.range(4).selectExpr("id as set_id", "0L as k")
+    s = spark.range(12).selectExpr("id % 4 as set_id", "id div 5 as elem")
+    setops.group_pair_counts(g, s)
+    assert written == ["inside", "groups", "shared"] and gone == [["set_id", "k", "elem", "ks"]]
+
+
 @pytest.mark.parametrize("name", ["set_difference", "set_intersection_count"])
 def test_pair_queries_list_no_members(spark, tmp_path, name):
     spark.range(60).selectExpr("id as s_suppkey", "1 as s_nationkey").write.parquet(str(tmp_path / "supplier.parquet"))
