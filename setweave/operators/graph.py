@@ -29,7 +29,7 @@ def degrees(edges: DataFrame) -> DataFrame:
 def degree_oriented(edges: DataFrame) -> DataFrame:
     """Edges from the end of lower (degree, id) to the higher: out-degrees stay below sqrt(2 m) on any graph."""
     d = degrees(edges)
-    e = edges.join(d.toDF("src", "ds"), "src").join(d.toDF("dst", "dd"), "dst")
+    e = edges.join(d.toDF("src", "ds").hint("merge"), "src").join(d.toDF("dst", "dd").hint("merge"), "dst")
     forward = (F.col("ds") < F.col("dd")) | ((F.col("ds") == F.col("dd")) & (F.col("src") < F.col("dst")))
     return e.select(F.when(forward, F.col("src")).otherwise(F.col("dst")).alias("src"), F.when(forward, F.col("dst")).otherwise(F.col("src")).alias("dst"))
 

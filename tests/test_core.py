@@ -367,3 +367,18 @@ def test_clique_patterns_over_a_view_with_cliques(spark, tmp_path):
     spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
     shapes = {"match_q4_ps": 630, "match_q5_ps": 21, "match_q6_ps": 630, "match_q7_ps": 7, "match_q8_ps": 210}
     assert {q: QUERIES[q](spark, str(tmp_path)).first().distinct_count if q == "match_q8_ps" else one(QUERIES[q](spark, str(tmp_path))) for q in shapes} == shapes
+
+
+@pytest.mark.parametrize("name", ["match_q0"])
+def test_cliques_broadcast_no_table(spark, tmp_path, monkeypatch, name):
+    """Joins of clique queries with tables that grow are merge joins, in written steps too; files small on disk hold long lists."""
+    rows = [(1000 + i, a, b) for i, (a, b) in enumerate(complete(7))]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    plans = []
+    seen = lambda df, table: plans.append(df._jdf.queryExecution().executedPlan().toString()) or materialize(df, table)
+    for module in (patterns, matching):
+        monkeypatch.setattr(module, "materialize", seen)
+    df = QUERIES[name](spark, str(tmp_path))
+    plans.append(df._jdf.queryExecution().executedPlan().toString())
+    keys = {k for p in plans for k in re.findall(r"Broadcast(?:HashJoin \[|NestedLoopJoin)(\w*?)(?:#|\b)", p)}
+    assert any("SortMergeJoin" in p for p in plans) and not keys
