@@ -369,7 +369,7 @@ def test_clique_patterns_over_a_view_with_cliques(spark, tmp_path):
     assert {q: QUERIES[q](spark, str(tmp_path)).first().distinct_count if q == "match_q8_ps" else one(QUERIES[q](spark, str(tmp_path))) for q in shapes} == shapes
 
 
-@pytest.mark.parametrize("name", ["match_q0", "match_q3", "match_q5_ps"])
+@pytest.mark.parametrize("name", ["match_q0", "match_q3", "match_q5_ps", "match_q7_ps"])
 def test_cliques_broadcast_no_table(spark, tmp_path, monkeypatch, name):
     """Joins of clique queries with tables that grow are merge joins, in written steps too; files small on disk hold long lists."""
     rows = [(1000 + i, a, b) for i, (a, b) in enumerate(complete(7))]
