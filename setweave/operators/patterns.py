@@ -7,11 +7,13 @@ patterns are closed forms over edges, triangles and 4-cliques.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from setweave.operators.graph import degree_oriented, degrees, symmetric, vertex_rank
-from setweave.session import materialize
+from setweave.session import discard, materialize
 
 #: Entries of neighbour lists that may be sent at once, in all or an edge, about 2 bytes each on disk.
 PASS, EDGE = 1 << 26, 6
@@ -122,23 +124,69 @@ def similar_edges_partitioned(edges: DataFrame, threshold: float, parts: int) ->
     return s.where(F.col("shared") / F.col("union_size") >= threshold)
 
 
-def bitmap_words(edges: DataFrame, ranks: DataFrame) -> DataFrame:
-    """Sparse bitmaps of neighbourhoods: (node, word, bits), one bit a neighbour's rank; frequent neighbours share words."""
-    s = symmetric(edges).join(ranks.select(F.col("node").alias("dst"), "rank"), "dst")
-    bit = F.expr("shiftleft(1L, cast(rank & 63 as int))")
-    return s.groupBy(F.col("src").alias("node"), F.shiftrightunsigned("rank", 6).alias("word")).agg(F.bit_or(bit).alias("bits"))
+def ranked_edges(edges: DataFrame, ranks: DataFrame) -> DataFrame:
+    """Edges between ranks, from the end of lower degree to the higher: (src, dst) with src > dst."""
+    r = ranks.select("node", "rank")
+    e = edges.join(r.toDF("src", "a").hint("merge"), "src").join(r.toDF("dst", "b").hint("merge"), "dst")
+    return e.select(F.greatest("a", "b").alias("src"), F.least("a", "b").alias("dst"))
+
+
+def bitmaps(ranked: DataFrame) -> DataFrame:
+    """Sparse bitmaps of out-neighbours: (node, nbrs), words in order and their bits, one bit a rank; frequent neighbours share words."""
+    bit = F.expr("shiftleft(1L, cast(dst & 63 as int))")
+    w = ranked.repartition("src").groupBy("src", F.shiftrightunsigned("dst", 6).alias("word")).agg(F.bit_or(bit).alias("bits"))
+    w = w.groupBy(F.col("src").alias("node")).agg(F.sort_array(F.collect_list(F.struct("word", "bits"))).alias("w"))
+    return w.select("node", F.struct(F.col("w.word").alias("word"), F.col("w.bits").alias("bits")).alias("nbrs"))
+
+
+def _shared_bits(met: DataFrame) -> DataFrame:
+    """(a, b, n) of edges between ranks, a > b, from met (p, q, x, y): each bit in both bitmaps closes a triangle of three edges."""
+
+    def run(batches):
+        for t in batches:
+            p, q = t.column(0).to_numpy(), t.column(1).to_numpy()
+            (px, wx, bx), (py, wy, by) = ((c.offsets.to_numpy(), c.flatten().to_numpy(), d.flatten().to_numpy()) for c, d in ((t.column(i), t.column(i + 1)) for i in (2, 4)))
+            if not len(wx) or not len(wy):
+                continue
+            # Numbers of row and word, both in order.
+            top = int(max(wx.max(), wy.max())) + 1
+            row = np.repeat(np.arange(len(p)), np.diff(px))
+            key, other = row * top + wx, np.repeat(np.arange(len(p)), np.diff(py)) * top + wy
+            at = np.minimum(np.searchsorted(other, key), len(other) - 1)
+            hit = np.flatnonzero(other[at] == key)
+            bits = bx[hit] & by[at[hit]]
+            hit, bits = hit[bits != 0], bits[bits != 0]
+            total = np.zeros(len(p), np.int64)
+            np.add.at(total, row[hit], np.bitwise_count(bits.view(np.uint64)))
+            some = np.flatnonzero(total)
+            if len(some):
+                yield _counted(np.maximum(p, q)[some], np.minimum(p, q)[some], total[some])
+            for i in range(0, len(hit), 1 << 14):
+                h = hit[i : i + (1 << 14)]
+                w, bit = np.nonzero(np.unpackbits(bits[i : i + (1 << 14)].astype("<i8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
+                third, r = wx[h[w]] * 64 + bit, row[h[w]]
+                for end in (p, q):
+                    yield _counted(end[r], third, np.ones(len(r), np.int64))
+
+    flat = met.select("p", "q", "x.word", "x.bits", F.col("y.word").alias("word2"), F.col("y.bits").alias("bits2"))
+    return flat.mapInArrow(run, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+
+
+def _counted(a: np.ndarray, b: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(n)], names=["a", "b", "n"])
 
 
 def support_by_bitmap(edges: DataFrame) -> DataFrame:
-    """The same as support, from intersected bitmap words; the end with fewer words probes the other."""
-    w = materialize(bitmap_words(edges, materialize(vertex_rank(edges), "ranks")), "bitmap")
-    n = w.groupBy("node").agg(F.count("*").alias("n"))
-    e = edges.join(n.toDF("src", "ns"), "src").join(n.toDF("dst", "nd"), "dst")
-    turn = F.col("ns") > F.col("nd")
-    e = e.select(F.when(turn, F.col("dst")).otherwise(F.col("src")).alias("p"), F.when(turn, F.col("src")).otherwise(F.col("dst")).alias("q"))
-    j = e.join(w.toDF("p", "word", "x"), "p").join(w.toDF("q", "word", "y"), ["q", "word"])
-    s = j.groupBy(F.least("p", "q").alias("src"), F.greatest("p", "q").alias("dst")).agg(F.sum(F.bit_count(F.col("x").bitwiseAND(F.col("y"))).cast("long")).alias("shared"))
-    return s.where("shared > 0")
+    """The same as support, from intersected bitmaps of out-neighbours; the end with fewer words sends them, in passes."""
+    ranks = materialize(vertex_rank(edges), "ranks")
+    o = materialize(ranked_edges(edges, ranks), "ranked")
+    # A word and its bits take the room of four entries of a list.
+    s = _in_passes(o, materialize(bitmaps(o), "bitmap"), 4 * F.size("nbrs.word"), _shared_bits)
+    discard(o)
+    s = s.groupBy("a", "b").agg(F.sum("n").alias("shared"))
+    r = ranks.select("rank", "node")
+    s = s.join(r.toDF("a", "u").hint("merge"), "a").join(r.toDF("b", "v").hint("merge"), "b")
+    return s.select(F.least("u", "v").alias("src"), F.greatest("u", "v").alias("dst"), "shared")
 
 
 def _choose2(c):
