@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from setweave.catalog import graphs
 from setweave.functions import bits, text
 from setweave.operators import diagnostics, matching, patterns, results, setops, solver
-from setweave.session import table_path, tune
+from setweave.session import materialize, table_path, tune
 
 QUERIES, SQL = {}, {}
 
@@ -182,7 +182,8 @@ def tc_consistency(spark, d):
     }
     answers = None
     for method, df in ways.items():
-        one = df.select(F.lit(method).alias("method"), F.col("n").cast("long").alias("n"))
+        # Written one by one, so the shuffle files of one method only are held.
+        one = materialize(df.select(F.lit(method).alias("method"), F.col("n").cast("long").alias("n")), "answer")
         answers = one if answers is None else answers.unionByName(one)
     return results.consistency(answers, "method", "n", "arrays")
 

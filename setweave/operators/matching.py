@@ -80,8 +80,9 @@ def _matched(edges: DataFrame, pattern: Pattern) -> DataFrame:
     for level in range(1, pattern.levels):
         needs = pattern.needs(level)
         lists = [kept[pattern.reuse[level]]] if -1 in needs else []
-        for x in (x for x in needs if x >= 0):
-            rows = rows.join(adjacency.select(F.col("node").alias(f"v{x}"), F.col("nbrs").alias(f"n{x}")), f"v{x}")
+        # The latest node first: of an oriented graph it drops rows before they carry a list.
+        for x in sorted((x for x in needs if x >= 0), reverse=True):
+            rows = rows.join(adjacency.select(F.col("node").alias(f"v{x}"), F.col("nbrs").alias(f"n{x}")).hint("merge"), f"v{x}")
             lists.append(f"n{x}")
         raw = reduce(lambda a, b: F.array_intersect(a, b), (F.col(c) for c in lists))
         mapping = [F.col(f"v{i}") for i in range(level)]

@@ -66,7 +66,9 @@ def cliques(edges: DataFrame, k: int, take=lambda c: c) -> DataFrame:
             c = c.join(step.hint("merge"), kept[-1]).select(*kept, F.array_intersect("common", "_n").alias("common"))
         return take(c)
 
-    return _in_passes(o, adj, F.size("nbrs"), grow)
+    out = _in_passes(o, adj, F.size("nbrs"), grow)
+    discard(o)
+    return out
 
 
 def clique_count(edges: DataFrame, k: int) -> DataFrame:
@@ -99,9 +101,11 @@ def triangles_partitioned(edges: DataFrame, parts: int) -> DataFrame:
     """
     o = materialize(degree_oriented(edges), "oriented")
     lists = o.groupBy(F.col("src").alias("node"), F.pmod("dst", F.lit(parts)).alias("part")).agg(F.collect_list("dst").alias("nbrs"))
-    x, y = lists.toDF("src", "part", "x"), lists.toDF("dst", "part", "y")
+    lists = materialize(lists, "lists")
+    x, y = lists.toDF("src", "part", "x").hint("merge"), lists.toDF("dst", "part", "y").hint("merge")
     n = F.size(F.array_intersect("x", "y")).cast("long")
-    return o.join(x, "src").join(y, ["dst", "part"]).groupBy("part").agg(F.sum(n).alias("n"))
+    # Targets first: those without out-neighbours drop their edges.
+    return o.join(y, "dst").join(x, ["src", "part"]).groupBy("part").agg(F.sum(n).alias("n"))
 
 
 def similar_edges(edges: DataFrame, threshold: float) -> DataFrame:
