@@ -420,3 +420,12 @@ def test_bitmaps_send_no_neighbourhoods(spark, monkeypatch):
         assert sorted(map(tuple, df.collect())) == sorted(map(tuple, patterns.support(g).collect())) != []
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def test_total_hits_send_counts_only(spark, tmp_path):
+    """12 000 matches of 40 queries in 300 documents are counted where they are found."""
+    spark.range(300).selectExpr("concat('d', id) as _id", "concat('a b w', id % 7) as text").write.parquet(str(tmp_path / "corpus.parquet"))
+    spark.range(41).selectExpr("concat('q', id) as _id", "if(id < 40, 'B a', 'z') as text").write.parquet(str(tmp_path / "queries.parquet"))
+    df = QUERIES["ir_total"](spark, str(tmp_path))
+    assert [tuple(r) for r in df.collect()] == [(41, 12_000)]
+    assert 0 < exchanged_rows(df) < 1000
