@@ -429,3 +429,12 @@ def test_total_hits_send_counts_only(spark, tmp_path):
     df = QUERIES["ir_total"](spark, str(tmp_path))
     assert [tuple(r) for r in df.collect()] == [(41, 12_000)]
     assert 0 < exchanged_rows(df) < 1000
+
+
+def test_shared_members_send_no_pairs_of_lists(spark, tmp_path):
+    """60 suppliers of one nation, each sharing half of its 200 parts with the next: pairs meet at shared members."""
+    spark.range(60).selectExpr("id as s_suppkey", "1 as s_nationkey").write.parquet(str(tmp_path / "supplier.parquet"))
+    spark.range(12_000).selectExpr("id div 200 as l_suppkey", "id % 200 + 100 * (id div 200) as l_partkey").write.parquet(str(tmp_path / "lineitem.parquet"))
+    df = QUERIES["set_intersection_count"](spark, str(tmp_path))
+    assert {(r.a, r.b): r.shared for r in df.collect()} == {(a, b): 100 * (b == a + 1) for a in range(60) for b in range(a + 1, 60)}
+    assert 0 < exchanged_rows(df) < 6000
