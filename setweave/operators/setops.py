@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from setweave.operators.graph import table_length
 from setweave.session import discard, materialize
 
+#: Meetings of sets at shared members that may be sent at once, in all or a member, about 10 bytes each on disk.
+PASS, MEMBER = 1 << 25, 2
+
 
 def pair_counts(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """pairs (a, b) -> sizes, shared, united and the members of a alone; sets without members count as empty."""
@@ -23,7 +26,8 @@ def group_pair_counts(groups: DataFrame, sets: DataFrame, salts: int = 16) -> Da
     """pair_counts of all pairs a < b of sets of one group; groups (set_id, group).
 
     Sets of a group meet at the members they share, so no pair lists its members. Pairs are built in salts x groups
-    cells, which a few large groups fill evenly. Steps are written, so the shuffle files of one step only are held.
+    cells, which a few large groups fill evenly. Steps are written, so the shuffle files of one step only are held;
+    meetings go in passes over the first set, bounded by PASS or MEMBER a member.
     """
     spark = groups.sparkSession
     s = sets.select("set_id", "elem").where("set_id is not null and elem is not null").distinct()
@@ -34,8 +38,15 @@ def group_pair_counts(groups: DataFrame, sets: DataFrame, salts: int = 16) -> Da
     inside = materialize(s.join(g.hint("merge"), "set_id").select("set_id", "k", "elem", "ks"), "inside")
     g = g.join(inside.groupBy("set_id", "k").agg(F.count("*").alias("n")), ["set_id", "k"], "left").fillna(0, ["n"]).select("set_id", "k", "ks", "n")
     g = materialize(g, "groups")
-    met = inside.toDF("a", "k", "elem", "ka").join(inside.toDF("b", "k", "elem", "kb").hint("merge"), ["elem", "k"]).where(once)
-    hit = materialize(met.groupBy("a", "b").agg(F.count("*").alias("shared")), "shared")
+    at = inside.groupBy("elem", "k").agg(F.count("*").alias("n"))
+    sent = at.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("members"), F.coalesce(F.sum(F.expr("n * (n - 1) div 2")), F.lit(0)).alias("meetings")).first()
+    passes = max(1, -(-sent.meetings // max(PASS, MEMBER * sent.members)))
+    hit = None
+    for i in range(passes):
+        mine = inside.where(F.pmod(F.xxhash64("set_id"), F.lit(passes)) == i)
+        met = mine.toDF("a", "k", "elem", "ka").join(inside.toDF("b", "k", "elem", "kb").hint("merge"), ["elem", "k"]).where(once)
+        part = materialize(met.groupBy("a", "b").agg(F.count("*").alias("shared")), "shared")
+        hit = part if hit is None else hit.unionByName(part)
     discard(inside)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     x = g.toDF("a", "k", "ka", "na").withColumn("_s", F.pmod(F.xxhash64("a"), F.lit(salts)).cast("int"))

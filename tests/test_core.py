@@ -236,6 +236,20 @@ def test_pairs_are_counted_in_steps(spark, monkeypatch):
     assert written == ["inside", "groups", "shared"] and gone == [["set_id", "k", "elem", "ks"]]
 
 
+def test_meetings_of_pairs_go_in_passes(spark, monkeypatch):
+    """Members that many sets of a group share make many meetings, of which a bounded number is sent at once."""
+    written = []
+    monkeypatch.setattr(setops, "materialize", lambda df, name: written.append(name) or materialize(df, name))
+    monkeypatch.setattr(setops, "PASS", 5, raising=False)
+    monkeypatch.setattr(setops, "MEMBER", 0, raising=False)
+    g = spark.range(12).selectExpr("id as set_id", "id % 2 as k").unionByName(spark.range(3).selectExpr("id as set_id", "1L as k"))
+    s = spark.range(60).selectExpr("id % 10 as set_id", "(id * id) % 4 as elem").distinct()
+    pairs = g.toDF("a", "k").join(g.toDF("b", "k"), "k").where("a < b").select("a", "b")
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(setops.group_pair_counts(g, s, 4)) == rows(setops.pair_counts(pairs, s)) != []
+    assert written.count("shared") > 1
+
+
 @pytest.mark.parametrize("name", ["set_difference", "set_intersection_count"])
 def test_pair_queries_list_no_members(spark, tmp_path, name):
     spark.range(60).selectExpr("id as s_suppkey", "1 as s_nationkey").write.parquet(str(tmp_path / "supplier.parquet"))
